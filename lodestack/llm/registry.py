@@ -8,9 +8,10 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     """op1 to op10 and the corpus pipeline, each over its whole table."""
     import corpus_pipeline
-    from lodestack.llm import simhash, token_counts
+    from lodestack.llm import repeats, simhash, token_counts
 
     return {
+        "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
