@@ -8,11 +8,12 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     """op1 to op10 and the corpus pipeline, each over its whole table."""
     import corpus_pipeline
-    from lodestack.llm import language, repeats, simhash, token_counts
+    from lodestack.llm import language, quality, repeats, simhash, token_counts
 
     return {
         "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
         "op7_language_id": language.op7_language_id,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
