@@ -8,10 +8,11 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     """op1 to op10 and the corpus pipeline, each over its whole table."""
     import corpus_pipeline
-    from lodestack.llm import language, quality, repeats, simhash, token_counts
+    from lodestack.llm import decontaminate, language, quality, repeats, simhash, token_counts
 
     return {
         "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_language_id": language.op7_language_id,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_counts": token_counts.op9_token_counts,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    from lodestack.llm import decontaminate
+
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
