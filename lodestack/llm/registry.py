@@ -8,10 +8,11 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     """op1 to op10 and the corpus pipeline, each over its whole table."""
     import corpus_pipeline
-    from lodestack.llm import chat, decontaminate, language, quality, repeats, simhash, token_counts
+    from lodestack.llm import chat, decontaminate, language, pieces, quality, repeats, simhash, token_counts
 
     return {
         "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_language_id": language.op7_language_id,
