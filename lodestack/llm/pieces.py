@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ UNIT = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bytes of text that are encoded at a time.
 PIECE_BYTES = 2 << 20
 #: Distinct units whose pieces a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Symbols that one suffix array takes.
 SORT_SYMBOLS = 1_000_000
 UNKNOWN, NONE = -2, -1
@@ -140,8 +141,9 @@ class PieceBpe:
         search a symbol.
         """
         n = len(points)
-        _, name = np.unique(points, return_inverse=True)
-        name, span = name.astype(np.int64), 1
+        present = np.zeros(int(points.max(initial=0)) + 1, np.int64)
+        present[points] = 1
+        name, span = (np.cumsum(present) - 1)[points], 1
         while span < self.longest:
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - span)] = name[span:]
@@ -193,8 +195,8 @@ class PieceBpe:
         A place is reached by the one edge that is compatible with the token that
         reaches the edge's start. Leading marks beyond one are runs of their own.
         """
-        extra = [max(0, len(u) - len(u.lstrip(MARK)) - 1) for u in units]
-        bare = [u[k:] for u, k in zip(units, extra)]
+        extra = [len(u) - len(u.lstrip(MARK)) - 1 if u[1:2] == MARK and u[0] == MARK else 0 for u in units]
+        bare = [u[k:] if k else u for u, k in zip(units, extra)]
         size = np.array([len(u) for u in bare], np.int64)
         begin = np.cumsum(size + 1) - size - 1
         points = np.frombuffer("\0".join([*bare, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
@@ -209,7 +211,8 @@ class PieceBpe:
         unit = np.repeat(np.arange(len(units)), size + 1)
         first = begin[unit]
         step = start + length - first[start]
-        order = np.argsort(step, kind="stable")
+        # small numbers sort by radix
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
         start, length, token, step = start[order], length[order], token[order], step[order]
         bounds = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(step) else np.zeros(1, np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -221,24 +224,29 @@ class PieceBpe:
                 pair, back_to = np.unique(before[ask] * self.base + t[ask], return_inverse=True)
                 ok[ask] = self.compatible(pair // self.base, pair % self.base)[back_to]
             reach[e[ok]], back[e[ok]] = t[ok], s[ok]
-        ids: list[list[int]] = [[] for _ in units]
+        ends = np.zeros(len(points) + 1, bool)
         live = np.flatnonzero(size > 0)
         at = begin[live] + size[live]
-        while len(live):
-            t = reach[at]
-            for u, k, p in zip(live.tolist(), t.tolist(), back[at].tolist()):
-                ids[u].extend((int(self.ids[k]),) if k >= 0 else self.byte_ids[list(chr(int(points[p]) - 1).encode("utf-8", "surrogatepass"))[::-1]].tolist())
+        while len(at):
+            ends[at] = True
             at = back[at]
-            going = at > begin[live]
-            live, at = live[going], at[going]
+            at = at[at > first[at]]
+        spot = np.flatnonzero(ends)
+        t = reach[spot]
+        # the end of a unit is the place of its separator, which belongs to the unit
+        count = np.bincount(unit[spot], minlength=len(units))
+        flat = np.where(t >= 0, self.ids[t], UNKNOWN).tolist()
+        to = np.cumsum(count).tolist()
+        out = [tuple(flat[b - n : b]) for n, b in zip(count.tolist(), to)]
+        for u in np.unique(unit[spot[t == UNKNOWN]]).tolist():
+            a, b = to[u] - int(count[u]), to[u]
+            out[u] = tuple(x for i, p in zip(flat[a:b], back[spot[a:b]].tolist()) for x in ((i,) if i != UNKNOWN else self.byte_ids[list(chr(int(points[p]) - 1).encode("utf-8", "surrogatepass"))].tolist()))
         lone = int(self.ids[self.number[MARK]]) if MARK in self.number else NONE
-        out = []
-        for u, got, k in zip(bare, ids, extra):
-            got.reverse()
+        for u, k in enumerate(extra):
             if k:
-                run = k + 1 if got and got[0] == lone and u[:1] == MARK else k
-                got = [*self.mark_run(run), *(got[1:] if run > k else got)]
-            out.append(tuple(got))
+                got = out[u]
+                run = k + 1 if got and got[0] == lone and bare[u][:1] == MARK else k
+                out[u] = (*self.mark_run(run), *(got[1:] if run > k else got))
         return out
 
     @functools.lru_cache(4096)
@@ -276,7 +284,7 @@ class PieceBpe:
         if new:
             self.known.update(zip(new, self.encode_units(new)))
         known = self.known
-        return [[i for u in units for i in known[u]] for units in split]
+        return [list(itertools.chain.from_iterable(map(known.__getitem__, units))) for units in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the mark that encoding puts before it."""
