@@ -8,12 +8,13 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     """op1 to op10 and the corpus pipeline, each over its whole table."""
     import corpus_pipeline
-    from lodestack.llm import chat, decontaminate, language, licenses, pieces, quality, repeats, simhash, token_counts
+    from lodestack.llm import chat, decontaminate, language, licenses, pieces, quality, repeats, shards, simhash, token_counts
 
     return {
         "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
         "op1_license_scans": licenses.op1_license_scans,
         "op2_sentencepiece": pieces.op2_sentencepiece,
+        "op3_sharding": shards.op3_sharding,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_language_id": language.op7_language_id,
