@@ -1,39 +1,4 @@
-"""All queries of the engine, by name, with their DuckDB counterparts."""
+"""All queries of the engine by name, with their DuckDB counterparts."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from lodestack.sources import tables
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a (spark, sf_dir) function and, if given, its SQL."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "exact_dedup_report",
-    """
-    SELECT count(*) AS n_files, count(DISTINCT sha256(text)) AS n_unique,
-           CAST(sum(strlen(text)) AS BIGINT) AS total_bytes
-    FROM documents
-    """,
-)
-def exact_dedup_report(spark, sf_dir):
-    blobs = tables.blobs(spark, sf_dir)
-    return blobs.agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.countDistinct("content_id").alias("n_unique"),
-        F.sum("size").alias("total_bytes"),
-    )
+from lodestack.plans import assets, chunks, manifests, scenes, storage, versions  # noqa: F401
+from lodestack.plans.registry import ORACLES, QUERIES  # noqa: F401

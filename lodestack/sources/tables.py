@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -11,8 +12,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Whole files of a folder as rows (path, modificationTime, length, content)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blobs: doc_id, content_id (SHA-256), filename, size, body."""
+    """Documents as blobs: doc_id, content_id (SHA-256), filename, size, body, lang, source."""
     body = F.encode("text", "UTF-8")
     return read(spark, sf_dir, "documents").select(
         "doc_id",
@@ -20,4 +26,40 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.octet_length(body).cast("long").alias("size"),
         body.alias("body"),
+        "lang",
+        "source",
+    )
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs as versions: project is the language, asset the source, numbers count documents by id."""
+    number = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
+    return blobs(spark, sf_dir).select(F.col("lang").alias("project"), F.col("source").alias("asset"), F.lit("txt").alias("representation"), number.alias("version_number"), "doc_id", "content_id", "filename", "size")
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as projects."""
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("code"), F.lit(None).cast("string").alias("name"), F.lit("active").alias("status"))
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as assets of their nation."""
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("code"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_nationkey").alias("project_id"))
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as version groups of their customer, numbered by date."""
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset_id"), number.alias("version_number"), F.lower("o_orderpriority").alias("stage"), F.col("o_orderstatus").alias("representation"))
+
+
+def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes to the cache's index."""
+    return read(spark, sf_dir, "events").select(
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("content_id"),
+        F.col("event_type").alias("filename"),
+        F.concat(F.lit("files/"), "event_type").alias("rel_path"),
+        F.round(F.col("value") * 100).cast("long").alias("size_bytes"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("last_accessed_at"),
+        F.col("event_id").alias("seq"),
     )
