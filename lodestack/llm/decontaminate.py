@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import rolling
 from lodestack.llm.batches import raw_text, text_pieces
+from lodestack.llm.workspace import unused
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -187,8 +188,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``; rows with a null id are judged by that id together."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "bad")
+    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
@@ -198,18 +200,18 @@ def op6_benchmark_decontamination(spark, sf_dir):
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM benchmark),
 bs AS (
-  SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i : i + 4], ' '))) AS s
+  SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
   FROM b WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 widths AS (SELECT DISTINCT width FROM bs),
 ds AS (
-  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, CAST(len(w) - width + 2 AS BIGINT)), i -> array_to_string(w[i : i + width - 1], ' '))) AS s
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, CAST(len(w) - width + 2 AS BIGINT)), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS s
   FROM d, widths WHERE len(w) >= width),
 hits AS (
   SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (width, s) GROUP BY doc_id, item_id)

@@ -195,11 +195,11 @@ def predictor(model: Model):
     return predict
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1), from the whole text alone.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score (0 to 1), from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0. Columns of
-    these names that ``docs`` has are replaced; all others stay.
+    the two names that ``docs`` has are replaced; all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
 
@@ -208,11 +208,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for piece in text_pieces(batch, text_col):
                 lang, score = ask(piece.column(piece.schema.get_field_index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*piece.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*piece.schema.names, lang_to, score_to])
 
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(lang_to, score_to)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{lang_to}` string, `{score_to}` double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.batches import text_pieces
 from lodestack.llm.components import connected_components
-from lodestack.llm.workspace import materialise
+from lodestack.llm.workspace import materialise, unused
 
 BITS = 64
 #: Reference fingerprints; each linked pair differs by at most the radius in its distance to every one.
@@ -47,16 +47,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; null texts count as empty."""
+    """(doc_id, tag, fp): the fingerprint of every whole text as a signed long, and a hash of the text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body"):
-                fps = np.array([fingerprint(x or b"", width) for x in piece.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                fps = np.array([fingerprint(x or b"", width) for x in piece.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(text_col, "UTF-8").alias("body"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.encode(text_col, "UTF-8").alias("body"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, tag long, fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -228,7 +228,7 @@ def _refined(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, tag, fp, root, component_id) for every row of ``docs``; ``tag`` is a hash of the text, ``root`` a fingerprint that names the component.
 
     component_id is the smallest doc_id that links of at most ``radius`` bits
     reach, the row's own included. Null texts and texts without words have the
@@ -242,18 +242,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near_links(nodes.select("fp"), count, radius))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    comp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(comp, "fp").select("doc_id", "fp", "component_id")
+    comp = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(comp, "fp").select("doc_id", "tag", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; repeated rows collapse to one.
+    """One row of ``docs`` for each component: the one whose id is the least.
 
-    Rows with a null id stay if their whole component has no id.
+    Of rows that share that id the one with the least text hash stays, and
+    equal rows become one. Of a component without any id one row stays. An
+    empty table gives no rows; other columns stay as they are.
     """
-    comp = near_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(comp, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept
+    of, tag = unused(docs, "of"), unused(docs, "tag")
+    rows = materialise(near_components(docs, id_col, text_col))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tag").alias(tag), F.first("component_id").alias(of))
+    kept = docs.join(first.select(of, tag), F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(tag)), "left_semi")
+    repeated = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

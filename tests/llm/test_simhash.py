@@ -73,3 +73,12 @@ def test_crowded_buckets_are_dealt_out_without_loss(spark):
         return {frozenset(g for g in fps if find(g) == find(f)) for f in fps}
 
     assert groups(edges) == groups((a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4)
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, long, 1), (3, "other words stand here now", 1), (2, long + " x", 1), (2, "a", 1), (5, "a", 1), (5, "a", 1), (9, None, 1), (8, "", 1), (1, "lone text of six words", 1), (1, "lone text of six words", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep int").withColumn("tag", F.lit("clash")).withColumn("of", F.lit("clash"))
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, "lone text of six words"), (2, "a"), (2, long + " x"), (3, "other words stand here now"), (8, "")]
