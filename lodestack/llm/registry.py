@@ -26,6 +26,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracles() -> dict[str, str]:
-    from lodestack.llm import decontaminate
+    from lodestack.llm import decontaminate, repeats
 
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {"op4_suffix_array_dedup": repeats.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL}

@@ -22,10 +22,12 @@ LENGTH = 400
 ANCHOR = 128
 #: Bytes that one suffix array takes, but for a single anchor's stretches.
 SORT_BYTES = 600_000
+#: An anchor with more different stretches is dealt out by what stands beside it.
+HOT_PARTS = 4_000
 
 
 def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share an anchor: (document, start, count, anchor hash).
+    """Runs of string starts that share an anchor: (document, start, count, anchor hash, place of the anchor after the start).
 
     The anchor of a string is its stretch of ``anchor`` bytes with the least
     hash, the leftmost of equals, so equal strings have equal anchors. Each
@@ -34,7 +36,7 @@ def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     sums = rolling.prefix_sums(data)
     at = np.arange(n - anchor + 1)
     grams = rolling.stretches(sums, at, at + anchor)
@@ -53,7 +55,7 @@ def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int
     chosen, doc = chosen[start], doc[start]
     first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]) if len(start) else none
     count = np.diff(np.r_[first, len(start)])
-    return doc[first], start[first] - offsets[doc[first]], count, grams[chosen[first]]
+    return doc[first], start[first] - offsets[doc[first]], count, grams[chosen[first]], chosen[first] - start[first]
 
 
 def _find_runs(length: int, anchor: int):
@@ -63,21 +65,39 @@ def _find_runs(length: int, anchor: int):
         for batch in batches:
             for piece in text_pieces(batch, "body"):
                 data, offsets = raw_text(piece.column(2))
-                doc, start, count, anchors = owned_starts(data, offsets, length, anchor)
+                doc, start, count, anchors, after = owned_starts(data, offsets, length, anchor)
                 view = memoryview(data)
                 lo = offsets[doc] + start
                 parts = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + count - 1 + length).tolist())]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors.view(np.int64)), pa.array(np.array(parts, np.uint64).view(np.int64)), piece.column(0).take(rows), piece.column(1).take(rows), pa.array(start), pa.array(count)],
-                    ["anchor", "part", "id", "key", "start", "count"],
+                    [pa.array(anchors.view(np.int64)), pa.array(np.array(parts, np.uint64).view(np.int64)), piece.column(0).take(rows), piece.column(1).take(rows), pa.array(start), pa.array(count), pa.array(after)],
+                    ["anchor", "part", "id", "key", "start", "count", "after"],
                 )
 
     return run
 
 
-def _cut_parts(length: int):
-    """mapInArrow: (body, parts) to a row with the bytes of each part."""
+def _bucketed(p: dict, text: bytes, length: int, anchor: int) -> Iterator[tuple]:
+    """Rows (bucket, anchor, part, shift, copies, count, text) of one stretch.
+
+    The bucket of a usual anchor is the anchor. Under a hot one, each string
+    holds so many bytes left of the anchor or else right of it; those decide
+    on its bucket, so equal strings still meet, and the stretch becomes two.
+    """
+    if not p["hot"]:
+        yield p["anchor"], p["anchor"], p["part"], 0, p["copies"], p["count"], text
+        return
+    half, at = (length - anchor) // 2, p["after"]
+    cut = max(0, min(p["count"], at - half + 1))
+    for side, a, b, beside in ((b"l", 0, cut, text[max(0, at - half) : at]), (b"r", cut, p["count"], text[at + anchor : at + anchor + half])):
+        if a < b:
+            bucket = np.uint64(xxhash.xxh3_64_intdigest(side + text[at : at + anchor] + beside)).view(np.int64)
+            yield int(bucket), p["anchor"], p["part"], a, p["copies"], b - a, text[a : b - 1 + length]
+
+
+def _cut_parts(length: int, anchor: int):
+    """mapInArrow: (body, parts) to rows with the bytes of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,36 +105,37 @@ def _cut_parts(length: int):
                 out: list[tuple] = []
                 for body, parts in zip(piece.column(0), piece.column(1).to_pylist()):
                     text = body.as_buffer().to_pybytes()
-                    out += [(p["anchor"], p["part"], p["copies"], p["count"], text[p["start"] : p["start"] + p["count"] - 1 + length]) for p in parts]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["anchor", "part", "copies", "count", "text"])
+                    for p in parts:
+                        out += _bucketed(p, text[p["start"] : p["start"] + p["count"] - 1 + length], length, anchor)
+                kinds = (*[pa.int64()] * 6, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["bucket", "anchor", "part", "shift", "copies", "count", "text"])
 
     return run
 
 
 def _sort_parts(length: int, limit: int):
-    """mapInArrow over parts sorted by (anchor, part): the starts in each that repeat, as ranges."""
+    """mapInArrow over rows sorted by (bucket, part, shift): the starts in each part that repeat, as ranges."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        hits = suffixes.repeated_starts([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], length)
+        hits = suffixes.repeated_starts([r[6] for r in rows], [r[5] for r in rows], [r[4] for r in rows], length)
         out: list[tuple] = []
-        for row, hit in zip(rows, hits):
+        for (_, anchor, part, shift, *_), hit in zip(rows, hits):
             if hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                out += [(row[0], row[1], a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0])) + shift
+                out += [(anchor, part, a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["anchor", "part", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and row[:2] == rows[-1][:2]:  # a repeated row of the table brought it twice
+                if rows and row[:4] == rows[-1][:4]:  # a repeated row of the table brought it twice
                     continue
                 if held > limit and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[6])
         if rows:
             yield solve(rows)
 
@@ -160,29 +181,31 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(body)).alias("key"), body.alias("body"))
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES, hot_parts: int = HOT_PARTS) -> DataFrame:
     """(key, cuts): for each text with any, the byte ranges covered by strings of ``length`` bytes that start at two or more places.
 
     Every string is assigned to its anchor; strings of anchors that occur once
     cannot repeat. Equal stretches of one anchor are counted before anything is
     shuffled with its bytes; one of each goes to a suffix array with the others
-    of its anchor. Texts of one key have the same ranges and share a row.
+    of its anchor. Anchors with more than ``hot_parts`` different stretches are
+    dealt out further. Texts of one key have the same ranges and share a row.
     """
     rows = keyed(docs, id_col, text_col)
     runs = rows.where(F.octet_length("body") >= length).mapInArrow(
-        _find_runs(length, anchor), f"anchor long, part long, id {rows.schema[0].dataType.simpleString()}, key binary, start long, count long"
+        _find_runs(length, anchor), f"anchor long, part long, id {rows.schema[0].dataType.simpleString()}, key binary, start long, count long, after long"
     )
     runs = materialise(runs)
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written before they are joined: joins of two plain tables can split a hot anchor's rows
+    twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     runs = materialise(runs.join(twice, "anchor", "left_semi"))
-    first = runs.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "id", "start", "count")).alias("at"))
-    wanted = first.groupBy(F.col("at.key").alias("key"), F.col("at.id").alias("id")).agg(
-        F.collect_list(F.struct("anchor", "part", "copies", F.col("at.start").alias("start"), F.col("at.count").alias("count"))).alias("parts")
-    )
+    first = materialise(runs.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "id", "start", "count", "after")).alias("at")))
+    hot = materialise(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_parts).select("anchor", F.lit(True).alias("hot")))
+    part = F.struct("anchor", "part", "copies", F.col("at.start").alias("start"), F.col("at.count").alias("count"), F.col("at.after").alias("after"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = first.join(hot, "anchor", "left").groupBy(F.col("at.key").alias("key"), F.col("at.id").alias("id")).agg(F.collect_list(part).alias("parts"))
     mine = F.struct("key", "id")
     found = rows.where(F.octet_length("body") >= length).withColumn("of", mine).join(wanted.select(mine.alias("of"), "parts"), "of").select("body", "parts")
-    parts = found.mapInArrow(_cut_parts(length), "anchor long, part long, copies long, count long, text binary")
-    hits = parts.repartition("anchor").sortWithinPartitions("anchor", "part").mapInArrow(_sort_parts(length, sort_bytes), "anchor long, part long, lo long, hi long")
+    parts = found.mapInArrow(_cut_parts(length, anchor), "bucket long, anchor long, part long, shift long, copies long, count long, text binary")
+    hits = parts.repartition("bucket").sortWithinPartitions("bucket", "part", "shift").mapInArrow(_sort_parts(length, sort_bytes), "anchor long, part long, lo long, hi long")
     places = runs.select("anchor", "part", "key", "start").distinct().join(hits, ["anchor", "part"])
     cuts = places.select("key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("cut"))
     return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts"))
@@ -232,3 +255,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op4_suffix_array_dedup(spark, sf_dir):
     return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, coalesce(strlen(text), 0) AS n FROM documents),
+c AS (SELECT doc_id, n, h, unnest(range(0, n - 399, 200)) AS b FROM d WHERE n >= 400),
+c2 AS MATERIALIZED (SELECT doc_id, b, least(200, n - 399 - b) AS m, substr(h, CAST(2 * b + 1 AS BIGINT), 1198) AS hb FROM c),
+w AS (SELECT doc_id, b, hb, unnest(range(0, m)) AS j FROM c2),
+k AS (SELECT doc_id, b + j AS i, md5(substr(hb, CAST(2 * j + 1 AS BIGINT), 800)) AS m FROM w),
+r AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i FROM k SEMI JOIN r USING (m)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM s),
+x AS (SELECT doc_id, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+p AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM x GROUP BY doc_id, island),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM p),
+t AS (SELECT q.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+             string_agg(substr(h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (lo - prev) AS BIGINT)), '' ORDER BY lo) AS front
+      FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""

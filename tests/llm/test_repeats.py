@@ -36,9 +36,9 @@ def corpus():
 
 def test_report_matches_brute_force(spark):
     rows = corpus()
-    for length, anchor in ((50, 16), (400, 128)):
+    for length, anchor, hot in ((50, 16, 1), (400, 128, 4000)):
         df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("cuts", F.lit(1))
-        got = sorted((tuple(r) for r in repeats.removal_report(df, length=length, anchor=anchor, sort_bytes=3000).collect()), key=str)
+        got = sorted((tuple(r) for r in repeats.removal_report(df, length=length, anchor=anchor, sort_bytes=3000, hot_parts=hot).collect()), key=str)
         assert got == brute(rows, length)
 
 
