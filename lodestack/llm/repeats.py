@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import rolling, suffixes
 from lodestack.llm.batches import raw_text, text_pieces
-from lodestack.llm.workspace import materialise
+from lodestack.llm.workspace import materialise, unused
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -23,7 +23,7 @@ ANCHOR = 128
 #: Bytes that one suffix array takes, but for a single anchor's stretches.
 SORT_BYTES = 600_000
 #: An anchor with more different stretches is dealt out by what stands beside it.
-HOT_PARTS = 4_000
+HOT_PARTS = 1_000
 
 
 def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -247,9 +247,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return pd.Series([None if t is None or r is None else one(t, r) for t, r in zip(body, spans)], dtype=object)
 
+    key, spans = unused(docs, "key"), unused(docs, "cuts")
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    joined = docs.withColumn("_key", F.unhex(F.md5(body))).join(cuts.select(F.col("key").alias("_key"), F.col("cuts").alias("_cuts")), "_key", "left")
-    text = F.when(F.col("_cuts").isNotNull(), left_over(F.encode(text_col, "UTF-8"), F.col("_cuts"))).otherwise(F.col(text_col))
+    named = cuts.select(F.col("key").alias(key), F.col("cuts").alias(spans))
+    joined = docs.withColumn(key, F.unhex(F.md5(body))).join(named, key, "left")
+    text = F.when(F.col(spans).isNotNull(), left_over(F.encode(text_col, "UTF-8"), F.col(spans))).otherwise(F.col(text_col))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

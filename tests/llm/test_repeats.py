@@ -44,7 +44,7 @@ def test_report_matches_brute_force(spark):
 
 def test_cut_texts_hold_whole_characters(spark):
     rows = [(1, "éü" * 100 + "one"), (2, "éü" * 100 + "two"), (3, None), (4, "short")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key2", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("cuts", F.lit(1))
     out = {r.doc_id: r.text for r in repeats.remove_repeats(df, length=41, anchor=16).collect()}
     assert out[3] is None and out[4] == "short" and out[1] == "one" and out[2] == "two"
     assert repeats.remove_repeats(df.limit(0)).collect() == []
