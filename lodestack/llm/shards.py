@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestack.llm.workspace import shared_dir
+from lodestack.llm.workspace import shared_dir, unused
 
 #: Bytes that a merged file should have, and rows that an arriving shard has at most.
 TARGET_BYTES = 64 << 20
@@ -71,7 +71,9 @@ class ShardStore:
     def _files(self, folder: str) -> DataFrame:
         """(path, bytes, rows) of the shards in a data folder; files without rows are left out."""
         read = self.spark.read.schema(self.schema).parquet(folder)
-        return read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows")).select("path", "bytes", "rows")
+        about = read.metadataColumn("_metadata")
+        files = read.select(about["file_path"].alias("path"), about["file_size"].alias("bytes"))
+        return files.groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows")).select("path", "bytes", "rows")
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
         """Writes arriving rows as small shards, without a shuffle, and commits them; returns the version."""
@@ -107,22 +109,26 @@ class ShardStore:
         if not paths:
             return at
         count = max(run for _, run in paths) + 1
-        plan = self.spark.createDataFrame(paths, "_path string, _run int")
-        rows = self.spark.read.schema(self.schema).parquet(*[p for p, _ in paths]).select("*", F.col("_metadata.file_path").alias("_path"))
+        read = self.spark.read.schema(self.schema).parquet(*[p for p, _ in paths])
+        path, run = unused(read, "path"), unused(read, "run")
+        plan = self.spark.createDataFrame(paths, f"`{path}` string, `{run}` int")
+        rows = read.select("*", read.metadataColumn("_metadata")["file_path"].alias(path))
         if len(paths) <= PLAN_BROADCAST_FILES:
             plan = F.broadcast(plan)
         folder = f"{self.root}/data/run-{uuid.uuid4().hex}"
-        merged = rows.join(plan, "_path").repartitionById(count, F.col("_run")).select(*self.schema.names)
+        merged = rows.join(plan, path).repartitionById(count, F.col(run)).select(*self.schema.names)
         merged.write.option("compression", "zstd").parquet(folder)
         kept = self.manifest(at).join(self.spark.createDataFrame(paths, "path string, _run int").select("path"), "path", "left_anti")
         return self._commit(kept.unionByName(self._files(folder)), at)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with the column shard, the file that each is in."""
+        """The rows of a version with a last column, the file that each is in: shard, or _shard if the rows have one."""
         paths = [r.path for r in self.manifest(version).select("path").collect()]  # names of files
         if not paths:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("shard", T.StringType())]))
-        return self.spark.read.schema(self.schema).parquet(*paths).select("*", F.col("_metadata.file_path").alias("shard"))
+            empty = self.spark.createDataFrame([], self.schema)
+            return empty.withColumn(unused(empty, "shard"), F.lit(None).cast("string"))
+        read = self.spark.read.schema(self.schema).parquet(*paths)
+        return read.select("*", read.metadataColumn("_metadata")["file_path"].alias(unused(read, "shard")))
 
     def vacuum(self) -> int:
         """Deletes data files that the latest version does not name; returns their number."""

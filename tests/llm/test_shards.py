@@ -42,6 +42,16 @@ def test_only_one_writer_commits_a_version(spark, tmp_path):
     assert store.version() == 1 and rows_of(store.read()) == rows_of(df)
 
 
+def test_clashing_names(spark, tmp_path):
+    df = spark.range(40).select(*(F.col("id").cast("string").alias(c) for c in ("doc_id", "path", "run", "shard", "bytes", "_metadata", "rows")))
+    store = shards.ShardStore(spark, str(tmp_path / "s"), df.schema)
+    store.append(df, 5)
+    store.append(df, 5)
+    store.compact(1 << 20)
+    out = store.read()
+    assert out.columns == [*df.columns, "_shard"] and sorted(tuple(r)[:-1] for r in out.collect()) == sorted([tuple(r) for r in df.collect()] * 2)
+
+
 def test_empty_table(spark, tmp_path):
     df = table(spark, 20).limit(0)
     store = shards.shard(df, str(tmp_path / "s"))
