@@ -145,7 +145,15 @@ def omni_ingest_roundtrip(spark, sf_dir):
     return made.select("doc_id", F.sha2("body", 256).alias("content_id"), F.octet_length("body").cast("long").alias("size"), (back == F.col("body")).alias("restored"))
 
 
-@query("publish_counts")
+@query(
+    "publish_counts",
+    f"""WITH c AS MATERIALIZED ({CDC_SQL}), f AS (SELECT content_hash, min(doc_id) AS doc_id FROM c GROUP BY 1), u AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1),
+    m AS (SELECT doc_id, count(*) AS chunk_count, string_agg('{{"hash":"' || content_hash || '","size":' || size || '}}', ',' ORDER BY "offset") AS chunks FROM c GROUP BY 1)
+    SELECT doc_id, chunk_count, coalesce(u.n, 0) AS uploaded_chunks,
+           sha256('{{"chunking":{{"algo":"fastcdc","avg":{SMALL.avg_size},"max":{SMALL.max_size},"min":{SMALL.min_size}}},"chunks":[' || chunks || '],"filename":"' || source || '/' || doc_id || '.txt","hash_algo":"sha2","schema":"asset.manifest.v2","size_bytes":'
+                  || strlen(text) || ',"whole_file_blake3":"' || sha256(text) || '"}}') AS manifest_id
+    FROM m JOIN documents USING (doc_id) LEFT JOIN u USING (doc_id)""",
+)
 def publish_counts(spark, sf_dir):
     rows = tables.blobs(spark, sf_dir).select("doc_id", "filename", "body")
     return ingest.publish(rows, SMALL).select("doc_id", "chunk_count", "uploaded_chunks", "manifest_id")
