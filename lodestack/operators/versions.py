@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.operators.ranking import numbered
+
+#: Arrival numbers that share a bucket when next versions are numbered.
+BUCKET_SEQ = 10_000
 KEY = ("project", "asset", "representation")
 
 
@@ -18,7 +22,6 @@ def register(existing: DataFrame, requests: DataFrame, store: DataFrame | None =
     content_not_found for content that the store lacks.
     """
     latest = existing.groupBy(*KEY).agg(F.max("version_number").alias("_latest"))
-    order = Window.partitionBy(*KEY).orderBy("seq")
     rows = requests
     if store is not None:
         rows = rows.join(store.select("content_id").distinct().withColumn("_found", F.lit(True)), "content_id", "left")
@@ -27,10 +30,11 @@ def register(existing: DataFrame, requests: DataFrame, store: DataFrame | None =
     taken = existing.select(*KEY, F.col("version_number").alias("version")).distinct().withColumn("_taken", F.lit(True))
     rows = rows.join(latest, list(KEY), "left").join(taken, [*KEY, "version"], "left")
     next_one = F.col("version").isNull() & F.coalesce("_found", F.lit(False))
-    number = F.coalesce("_latest", F.lit(0)) + F.sum(next_one.cast("int")).over(order)
+    rows = numbered(rows.withColumn("_next", next_one), list(KEY), ["seq"], F.floor(F.col("seq") / BUCKET_SEQ), "_number", F.col("_next"))
+    number = F.coalesce("_latest", F.lit(0)) + F.col("_number")
     outcome = F.when(~F.coalesce("_found", F.lit(False)), "content_not_found").when(F.col("_taken"), "version_conflict").otherwise("ok")
     out = rows.withColumn("outcome", outcome).withColumn("version_number", F.when(F.col("outcome") == "ok", F.coalesce(F.col("version"), number)))
-    return out.drop("_latest", "_taken", "_found")
+    return out.drop("_latest", "_taken", "_found", "_next", "_number")
 
 
 def resolve(versions: DataFrame, uris: DataFrame) -> DataFrame:

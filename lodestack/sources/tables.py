@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.operators.ranking import numbered
+
+#: Document ids that share a bucket when versions are numbered.
+BUCKET_IDS = 10_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``sf_dir``; Catalyst prunes its columns."""
@@ -33,8 +38,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs as versions: project is the language, asset the source, numbers count documents by id."""
-    number = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return blobs(spark, sf_dir).select(F.col("lang").alias("project"), F.col("source").alias("asset"), F.lit("txt").alias("representation"), number.alias("version_number"), "doc_id", "content_id", "filename", "size")
+    rows = blobs(spark, sf_dir).select(F.col("lang").alias("project"), F.col("source").alias("asset"), F.lit("txt").alias("representation"), "doc_id", "content_id", "filename", "size")
+    return numbered(rows, ["project", "asset"], ["doc_id"], F.floor(F.col("doc_id") / BUCKET_IDS), "version_number")
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
