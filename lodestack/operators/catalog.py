@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DEFAULT_STAGES = ("lookdev", "modelling", "rigging", "texturing")
 DEFAULT_REPRESENTATION = "blend"
@@ -61,16 +62,18 @@ def same_stage(wanted: str, stage: Column | str) -> Column:
 def palette(assets: DataFrame, groups: DataFrame, query: str, search: tuple[str, ...] = ("code", "name", "type"), preview_assets: int = 8, preview_versions: int = 12) -> DataFrame:
     """One row a project: how many assets fit, the first codes, the chosen asset and its versions, latest first.
 
-    The chosen asset is the first that fits. Arrays are cut to previews that
-    ``min_by`` style sorting bounds per project; ``groups`` has asset_id and version_number.
+    The chosen asset is the first that fits. Previews are cut by rank, which
+    Spark limits before it shuffles, so no group is collected beyond its preview.
+    ``groups`` has asset_id and version_number.
     """
     fits = filter_assets(assets, query, search)
     per = fits.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_assets"), F.min("code").alias("asset_code"))
-    first = F.slice(F.sort_array(F.collect_list("code")), 1, preview_assets)
-    shown = fits.groupBy("project_id", F.pmod(F.xxhash64("code"), F.lit(32)).alias("part")).agg(first.alias("codes"))
-    codes = shown.groupBy("project_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("codes"))), 1, preview_assets).alias("codes"))
     chosen = per.join(assets.select("project_id", F.col("code").alias("asset_code"), F.col("id").alias("asset_id")), ["project_id", "asset_code"])
-    versions = groups.join(chosen.select("asset_id"), "asset_id", "left_semi").groupBy("asset_id").agg(F.slice(F.sort_array(F.collect_list("version_number"), False), 1, preview_versions).alias("versions"))
+    first = fits.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("code"))).where(F.col("rank") <= preview_assets)
+    codes = first.groupBy("project_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    own = groups.join(chosen.select("asset_id"), "asset_id", "left_semi")
+    last = own.withColumn("rank", F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("version_number")))).where(F.col("rank") <= preview_versions)
+    versions = last.groupBy("asset_id").agg(F.sort_array(F.collect_list("version_number"), False).alias("versions"))
     out = chosen.join(codes, "project_id").join(versions, "asset_id", "left")
     text = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.cast("string")), ",")
     return out.select("project_id", "n_assets", "asset_code", text(F.col("codes")).alias("codes"), text(F.col("versions").cast("array<string>")).alias("versions"))
