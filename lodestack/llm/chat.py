@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Tokens of new turns after which a window ends, tokens of history that the next one repeats.
+#: Tokens of a window without its system turn, and those of them that repeated history may take.
 WINDOW_TOKENS = 512
 HISTORY_TOKENS = 128
 #: Turn numbers that share a block of the two-level prefix sums.
@@ -54,29 +54,35 @@ def _prefixed(rows: DataFrame) -> DataFrame:
 def format_windows(conversations: DataFrame, window_tokens: int = WINDOW_TOKENS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """(conv_id, window, formatted, loss_spans, n_tokens), one row for each window.
 
-    Input columns: conv_id, turn, role, text. A turn is new in the window that
-    its prefix sum falls in, so windows are turn-aligned and each turn is new
-    once. A window repeats the conversation's first system turn and those turns
-    before it that end within ``history_tokens`` (at most ``window_tokens``) of
-    its start. ``loss_spans`` are half-open code point ranges of ``formatted``:
+    Input columns: conv_id, turn, role, text. The budget without its history is
+    two strides. A turn is new in the window of the stride that its prefix sum
+    falls in, so windows are turn-aligned and each turn is new once; a turn of
+    more than a stride that reaches beyond its stride has a window of its own.
+    So new turns and history keep to ``window_tokens`` together, but for a turn
+    that alone is larger. A window repeats the conversation's first system turn
+    and the turns of at most ``history_tokens`` (a third of the budget at most)
+    before it. ``loss_spans`` are half-open code point ranges of ``formatted``:
     the texts of new assistant turns; repeated ones are masked.
 
     Null texts and roles are empty; a null turn comes first; turns that tie are
     ordered by role and text; repeated rows are all kept; rows with a null
-    conv_id form one conversation; a turn beyond the budget fills a window of
-    its own. Other columns are not looked at.
+    conv_id form one conversation. Other columns are not looked at.
     """
-    history = min(history_tokens, window_tokens)
+    history = min(history_tokens, window_tokens // 3)
+    stride = max(1, (window_tokens - history) // 2)
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("m")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
-    turns = _prefixed(rows.withColumn("n", tokens("text"))).withColumn("window", F.floor(F.col("before") / window_tokens))
+    at = F.floor(F.col("before") / stride)
+    alone = (F.col("n") > stride) & (F.floor((F.col("before") + F.col("n") - 1) / stride) != at)
+    turns = _prefixed(rows.withColumn("n", tokens("text"))).withColumn("window", 2 * at + alone.cast("long"))
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("text", "rank", "window", "n"), "rank").alias("sys"))
     begins = turns.groupBy("conv_id", "window").agg(F.min("before").alias("begin"), F.min("rank").alias("first"))
     begins = begins.select(F.col("conv_id").alias("_c"), F.col("window").alias("_w"), "begin", "first")
     same = F.col("conv_id").eqNullSafe(F.col("_c"))
     new = turns.select("conv_id", "window", F.lit(1).alias("fresh"), "rank", "role", "text", "n")
-    # a turn can only be history of the window after its own: begins two windows on are further away than the history reaches
-    old = turns.join(begins, same & (F.col("window") + 1 == F.col("_w"))).where(F.col("begin") - F.col("before") <= history)
+    # history reaches back a stride at most, so it is that of windows of the same or the next stride
+    later = F.explode(F.sequence(F.col("window") + 1, 2 * F.floor(F.col("window") / 2) + 3))
+    old = turns.withColumn("later", later).join(begins, same & (F.col("later") == F.col("_w"))).where(F.col("begin") - F.col("before") <= history)
     old = old.select("conv_id", F.col("_w").alias("window"), F.lit(0).alias("fresh"), "rank", "role", "text", "n")
     kept = begins.join(system.select(F.col("conv_id").alias("_s"), "sys"), F.col("_c").eqNullSafe(F.col("_s"))).where(F.col("sys.rank") < F.col("first"))
     kept = kept.select(F.col("_c").alias("conv_id"), F.col("_w").alias("window"), F.lit(-1).alias("fresh"), F.col("sys.rank").alias("rank"), F.lit("system").alias("role"), F.col("sys.text").alias("text"), F.col("sys.n").alias("n"))

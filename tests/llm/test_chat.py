@@ -52,6 +52,16 @@ def test_windows_keep_system_and_history(spark):
     assert len(windows) > 5
     for k, w in enumerate(windows):
         assert w.formatted.count("rules") == 1 and w.formatted.startswith("<|new|" if k == 0 else "<|old|system|>rules")
-        assert w.formatted.count("<|old|") == (0 if k == 0 else 2)  # the system turn and one turn of history
+        assert w.formatted.count("<|old|") == (0 if k == 0 else 2)  # the system turn and one turn of history, of ten tokens
         assert all(w.formatted[: s.start].rsplit("<|", 1)[1] == "new|assistant|>" for s in w.loss_spans)
-        assert w.n_tokens <= 40 + 12 + 10 + 3
+        assert w.n_tokens <= 40 + 3
+
+
+def test_only_a_single_long_turn_exceeds_the_budget(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, t, ("user", "assistant")[t % 2], "w " * int(rng.integers(0, 70))) for c in range(30) for t in range(25)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for w in chat.format_windows(df, 90, 30).collect():
+        fresh = w.formatted.count("<|new|")
+        assert w.n_tokens <= 90 or (fresh == 1 and w.n_tokens <= 72 + 30)
+        assert fresh >= 1
