@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.batches import text_pieces
-from lodestack.llm.suffixes import _rank_pairs
+from lodestack.llm.suffixes import rank_pairs
 
 MARK = "▁"
 #: A unit: no piece joins a character to a mark that follows it.
@@ -147,7 +147,7 @@ class PieceBpe:
         while span < self.longest:
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - span)] = name[span:]
-            name = _rank_pairs(name, ahead)
+            name = rank_pairs(name, ahead)
             span *= 2
         order = np.argsort(name, kind="stable")
         padded = np.r_[points, np.zeros(self.longest, np.int64)]

@@ -30,7 +30,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return rise[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense ranks of the pairs (a, b); both are ranks below their number."""
     m = len(a)
     bits = max(1, (m - 1).bit_length())
@@ -78,7 +78,7 @@ def sort_smaller(text: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray:
         tied = np.bincount(name)[name] > 1
         if not tied.any() or int((chosen[jump] - chosen)[tied].min()) >= depth:
             break
-        name = _rank_pairs(name, name[jump])
+        name = rank_pairs(name, name[jump])
         jump = jump[jump]
     ranked = chosen[np.argsort(name, kind="stable")]
     return ranked[small[ranked]]
