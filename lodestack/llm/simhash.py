@@ -246,15 +246,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(comp, "fp").select("doc_id", "tag", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the one whose id is the least.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components=near_components) -> DataFrame:
+    """One row of ``docs`` for each of its ``components``: the one whose id is the least.
 
     Of rows that share that id the one with the least text hash stays, and
     equal rows become one. Of a component without any id one row stays. An
     empty table gives no rows; other columns stay as they are.
     """
     of, tag = unused(docs, "of"), unused(docs, "tag")
-    rows = materialise(near_components(docs, id_col, text_col))
+    rows = materialise(components(docs, id_col, text_col))
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tag").alias(tag), F.first("component_id").alias(of))
     kept = docs.join(first.select(of, tag), F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(tag)), "left_semi")
     repeated = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
