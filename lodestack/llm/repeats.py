@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import rolling, suffixes
 from lodestack.llm.batches import raw_text, text_pieces
+from lodestack.llm.decontaminate import SPACE
 from lodestack.llm.workspace import materialise, unused
 
 #: Bytes of a string that counts as repeated.
@@ -24,6 +25,12 @@ ANCHOR = 128
 SORT_BYTES = 600_000
 #: An anchor with more different stretches is dealt out by what stands beside it.
 HOT_PARTS = 1_000
+#: Words of an anchor of a passage, as ANCHOR is the bytes of a string's.
+ANCHOR_WORDS = 16
+#: Bytes of text whose passages are found at a time.
+PASSAGE_BYTES = 1 << 18
+#: Low bits of an anchor's hash that give way to its place.
+PLACE_BITS = np.uint64(28)
 
 
 def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -211,6 +218,99 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts"))
 
 
+def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...]:
+    """Every stretch of ``words`` words of each text: (document, hash, anchor hash, place of the anchor, first byte, byte after the last).
+
+    Words are runs without ASCII white space; what stands between them does not
+    count. The anchor is the leftmost stretch of ``anchor`` words with the least
+    hash, so equal passages have equal anchors at the same place in them.
+    """
+    n = len(data)
+    head = np.zeros(n + 1, bool)
+    head[offsets] = True
+    solid = ~SPACE[data]
+    start = np.flatnonzero(solid & np.r_[True, ~solid[:-1] | head[1:-1]]) if n else np.zeros(0, np.int64)
+    end = np.flatnonzero(solid & (np.r_[~solid[1:], True] | head[1:])) + 1 if n else start
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    m = len(start) - words + 1
+    if m <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none, none, none
+    h = rolling.stretches(rolling.prefix_sums(data), start, end)
+
+    def joined(width: int) -> np.ndarray:
+        key = np.zeros(len(h) - width + 1, np.uint64)
+        for k in range(width):
+            key = rolling.mixed(key * np.uint64(3) + h[k : k + len(key)])
+        return key
+
+    low = joined(anchor)
+    low = ((low >> PLACE_BITS) << PLACE_BITS) | np.arange(len(low), dtype=np.uint64)
+    wide, span = words - anchor + 1, 1
+    while span * 2 <= wide:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < wide:
+        low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
+    inside = np.flatnonzero(doc[:m] == doc[words - 1 :])
+    low = low[inside]
+    place = low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))
+    return doc[inside], joined(words)[inside], (low >> PLACE_BITS).astype(np.int64), place.astype(np.int64), start[inside], end[inside + words - 1]
+
+
+def _find_anchors(words: int):
+    """mapInArrow: (of, body) to (of, anchor), one row for each run of passages of one anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text_pieces(batch, "body", PASSAGE_BYTES):
+                doc, _, anchors, place, _, _ = passages(*raw_text(piece.column(1)), words)
+                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else doc
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc[first])), pa.array(anchors[first])], ["of", "anchor"])
+
+    return run
+
+
+def _find_passages(words: int):
+    """mapInArrow: (key, body, anchors) to (key, passages), the passages of those anchors with their byte ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text_pieces(batch, "body", PASSAGE_BYTES):
+                data, offsets = raw_text(piece.column(1))
+                doc, key, anchors, _, lo, hi = passages(data, offsets, words)
+                cut = np.searchsorted(doc, np.arange(len(offsets)))
+                keep = [a + np.flatnonzero(np.isin(anchors[a:b], have.values.to_numpy())) for a, b, have in zip(cut[:-1], cut[1:], piece.column(2))]
+                ends = pa.array(np.cumsum([0, *map(len, keep)]).astype(np.int32))
+                at = np.concatenate(keep).astype(np.int64)
+                found = [key[at].view(np.int64), (lo[at] - offsets[doc[at]]).astype(np.int32), (hi[at] - offsets[doc[at]]).astype(np.int32)]
+                rows = pa.StructArray.from_arrays([pa.array(c) for c in found], ["passage", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(ends, rows)], ["key", "passages"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, cuts) as of ``repeated_ranges``: the byte ranges of runs of ``words`` words that start at two or more places.
+
+    Only passages whose anchor occurs twice can repeat; those of other anchors
+    never leave the pass over their text. Passages are counted by 64-bit
+    hashes, and counts combine map-side, so one common passage crowds no task.
+    """
+    rows = keyed(docs, id_col, text_col).where(F.octet_length("body") >= 2 * words - 1).select(F.xxhash64("body").alias("of"), "key", "body")
+    runs = materialise(rows.select("of", "body").mapInArrow(_find_anchors(words), "of long, anchor long"))
+    twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    wanted = materialise(runs.join(twice, "anchor", "left_semi").groupBy("of").agg(F.collect_set("anchor").alias("anchors")))
+    found = rows.join(wanted, "of").select("key", "body", "anchors").mapInArrow(_find_passages(words), "key binary, passages array<struct<passage:long,lo:int,hi:int>>")
+    # numbers stand for the keys while single passages are shuffled, and are written so that they stay
+    found = materialise(found.withColumn("nr", F.monotonically_increasing_id()))
+    single = found.select("nr", F.inline("passages"))
+    again = materialise(single.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage"))
+    cut = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    cuts = single.join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
+    return found.select("nr", "key").join(cuts, "nr").groupBy("key").agg(F.any_value("cuts").alias("cuts"))
+
+
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
@@ -224,13 +324,17 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(cuts, "key", "left").select("id", "body", "cuts").mapInArrow(_report(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None, **sizes) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of the text.
 
-    Cuts that would split a character are widened to whole characters. A null
+    With ``words``, repeated runs of so many words are cut out as well, however
+    few bytes they have. Cuts that would split a character are widened to whole characters. A null
     text stays null; all other columns stay as they are.
     """
     cuts = repeated_ranges(docs, id_col, text_col, length, **sizes)
+    if words:
+        both = cuts.union(repeated_passages(docs, words, id_col, text_col))
+        cuts = both.groupBy("key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
     @F.pandas_udf("string")
     def left_over(body, spans):
