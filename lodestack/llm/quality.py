@@ -102,7 +102,8 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def ratios(s: np.ndarray) -> np.ndarray:
     """What the forest splits on, from STATS: symbols a character and characters a word.
 
-    Repeats are judged by the base rules. As forest columns they would make
+    Repeated runs of words are judged by the base rules; repeated lines are
+    reported and not judged. As forest columns they would make
     harmless rare values, such as one repeated heading, the shortest paths.
     """
     return np.column_stack([s[:, 2] / np.maximum(s[:, 1], 1), s[:, 1] / np.maximum(s[:, 0], 1)])
