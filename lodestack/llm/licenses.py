@@ -179,7 +179,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """(doc_id, license, coverage, start_char, end_char) for each license notice in the whole texts.
 
     A notice counts if a patience alignment covers ``coverage`` of its
-    template's words (runs of ASCII letters and digits, in lower case). A text
+    template's words (runs of ASCII letters and digits, in lower case) within
+    STRETCH template lengths. A text
     may hold several notices, and one several times. Null and empty texts hold
     none; repeated rows are scanned each; a null id stays null; an empty table
     gives no rows. Other columns of ``docs`` are not looked at.
