@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,3 +40,24 @@ def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] ... start[i] + size[i] - 1 of all i end to end, of the type of ``start``."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = start.dtype if total < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((start - (ends - size)).astype(kind), size)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which a reused worker gives free memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

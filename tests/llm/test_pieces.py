@@ -28,3 +28,13 @@ def test_rows(spark):
     wide = pieces.decode(pieces.encode(df, PATH), PATH).collect()
     assert {(r.doc_id, r.decoded) for r in wide} == {(1, "one two"), (None, ""), (2, ""), (3, "mark  ")}
     assert pieces.round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_long_texts_in_parts_and_forgotten_units(monkeypatch):
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.PieceBpe(PATH)
+    monkeypatch.setattr(pieces, "PIECE_BYTES", 64)
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 500)
+    texts = ["alpha  beta ▁ gamma▁ delta\n eps é  " * 20, "one two three " * 30, "x" * 500]
+    for t in texts * 3:
+        assert own.encode([t]) == [lib.encode(t)]
+    assert own.held <= 500 + pieces.ENTRY_BYTES + 200
