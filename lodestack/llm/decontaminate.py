@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import rolling
-from lodestack.llm.batches import raw_text, text_pieces
+from lodestack.llm.batches import raw_text, released, text_pieces
 from lodestack.llm.workspace import unused
 
 SHINGLE = 5
@@ -78,7 +78,7 @@ def hashed_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
     m = len(start) - width + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = rolling.stretches(rolling.prefix_sums(LOWER[data]), start, end)
+    h = rolling.hashed(LOWER[data], start, end)
     key = np.zeros(m, np.uint64)
     for k in range(width):
         key = rolling.mixed(key * np.uint64(3) + h[k : k + m])
@@ -164,6 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def passed(block: list[tuple]) -> DataFrame:
         index = spark.sparkContext.broadcast(build_index(block, width, containment))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in text_pieces(batch, "body"):

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.batches import text_pieces
+from lodestack.llm.batches import released, text_pieces
 
 #: Hashed n-gram features.
 FEATURES = 1 << 15
@@ -61,6 +61,7 @@ def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts each feature occurs, and the number of texts; over all rows."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
@@ -95,6 +96,7 @@ def sampled_rows(docs: DataFrame, counts: dict[str, int], text_col: str, lang_co
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     part = F.pmod(F.xxhash64(text_col, F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -203,6 +205,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_to: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = predictor(shared.value)
         for batch in batches:

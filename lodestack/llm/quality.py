@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import rolling
-from lodestack.llm.batches import raw_text, text_pieces
+from lodestack.llm.batches import raw_text, released, text_pieces
 from lodestack.llm.workspace import materialise
 
 WINDOW = 5
@@ -43,22 +43,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     end = np.flatnonzero(solid & (np.r_[~solid[1:], True] | head[1:])) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     out[:, 0] = np.bincount(doc, minlength=docs)
-    chars = np.r_[0, np.cumsum(solid & ((data & 0xC0) != 0x80))]
-    out[:, 1] = chars[offsets[1:]] - chars[offsets[:-1]]
-    marks = np.r_[0, np.cumsum(SYMBOL[data])]
-    out[:, 2] = marks[offsets[1:]] - marks[offsets[:-1]]
-    sums = rolling.prefix_sums(data)
+    out[:, 1] = _true_in_each(solid & ((data & 0xC0) != 0x80), offsets)
+    out[:, 2] = _true_in_each(SYMBOL[data], offsets)
     # lines: a new line ends one, and so does the end of a text
     breaks = data == 0x0A
     cut = np.union1d(np.flatnonzero(breaks), offsets[1:])  # a text's end may be the next one's start
     first = np.r_[0, cut[:-1] + (cut[:-1] < n) * np.where(cut[:-1] < n, breaks[np.minimum(cut[:-1], n - 1)], False)]
-    words = np.r_[0, np.cumsum(solid)]
-    full = words[cut] > words[np.minimum(first, cut)]
+    full = np.searchsorted(start, cut) > np.searchsorted(start, first)
     first, last = first[full], cut[full]
     owner = np.searchsorted(offsets, first, side="right") - 1
-    out[:, 3] = _later_equals(rolling.stretches(sums, first, last) + (last - first).astype(np.uint64), owner, docs)
+    out[:, 3] = _later_equals(rolling.hashed(data, first, last), owner, docs)
     if len(start) >= WINDOW:
-        h = rolling.stretches(sums, start, end)
+        h = rolling.hashed(data, start, end)
         m = len(start) - WINDOW + 1
         key = np.zeros(m, np.uint64)
         for k in range(WINDOW):
@@ -79,6 +75,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _true_in_each(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many values of ``mask`` are true in each text."""
+    return np.where(np.diff(offsets) > 0, np.add.reduceat(mask, np.minimum(offsets[:-1], len(mask) - 1), dtype=np.int64), 0)
+
+
 def _later_equals(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     """For each document, its hashes that an earlier place of it holds already."""
     pair = np.unique(np.rec.fromarrays([owner, h]))
@@ -88,6 +89,7 @@ def _later_equals(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, STATS, base_failed) for every whole text; a null text has no words."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch):
@@ -181,6 +183,7 @@ def with_anomaly(stats: DataFrame, forest: Forest) -> DataFrame:
     """``stats`` with the column anomaly."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)  # of fixed size
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in STATS])

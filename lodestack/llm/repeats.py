@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import rolling, suffixes
-from lodestack.llm.batches import raw_text, text_pieces
+from lodestack.llm.batches import PIECE_BYTES, raw_text, released, text_pieces
 from lodestack.llm.decontaminate import SPACE
-from lodestack.llm.workspace import materialise, unused
+from lodestack.llm.workspace import materialise, settled, unused
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -23,22 +23,30 @@ LENGTH = 400
 ANCHOR = 128
 #: Bytes that one suffix array takes, but for a single anchor's stretches.
 SORT_BYTES = 600_000
-#: An anchor with more different stretches is dealt out by what stands beside it.
+#: Rows of a batch that are made Python values at a time.
+SORT_ROWS = 500
+#: An anchor with more different stretches is dealt out by what stands beside it, as often as its number is twice as large.
 HOT_PARTS = 1_000
+#: Words of a passage that counts as repeated: over 50.
+PASSAGE_WORDS = 51
 #: Words of an anchor of a passage, as ANCHOR is the bytes of a string's.
 ANCHOR_WORDS = 16
 #: Bytes of text whose passages are found at a time.
 PASSAGE_BYTES = 1 << 18
-#: Low bits of an anchor's hash that give way to its place.
-PLACE_BITS = np.uint64(28)
+#: Low bits of an anchor's hash that give way to its place in what is searched at a time.
+PLACE_BITS = np.uint64(22)
+PASSAGE_PLACE = np.uint64((1 << 28) - 1)
+PLACE = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
 
 
 def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of string starts that share an anchor: (document, start, count, anchor hash, place of the anchor after the start).
 
     The anchor of a string is its stretch of ``anchor`` bytes with the least
-    hash, the leftmost of equals, so equal strings have equal anchors. Each
-    start of a string inside one document is in exactly one run.
+    hash, the leftmost of equals, so equal strings have equal anchors, whatever
+    stands around them: hashes are cut to the same bits everywhere. Each start
+    of a string inside one document is in exactly one run. At most 2 **
+    PLACE_BITS bytes.
     """
     none = np.zeros(0, np.int64)
     n = len(data)
@@ -47,15 +55,14 @@ def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int
     sums = rolling.prefix_sums(data)
     at = np.arange(n - anchor + 1)
     grams = rolling.stretches(sums, at, at + anchor)
-    bits = np.uint64(int(len(grams)).bit_length())
-    low = ((grams >> bits) << bits) | at.astype(np.uint64)
+    low = (grams & ~PLACE) | at.astype(np.uint64)
     wide, span = length - anchor + 1, 1
     while span * 2 <= wide:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < wide:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-    chosen = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    chosen = (low & PLACE).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(chosen)]
     valid = at[: len(chosen)] + length <= offsets[doc + 1]
     start = np.flatnonzero(valid)
@@ -65,16 +72,27 @@ def owned_starts(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int
     return doc[first], start[first] - offsets[doc[first]], count, grams[chosen[first]], chosen[first] - start[first]
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, data, offsets) of bounded parts of what ``text_pieces`` gave; parts of one long text overlap."""
+    if len(data) <= PIECE_BYTES:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - overlap, PIECE_BYTES):
+        part = data[at : at + PIECE_BYTES + overlap]
+        yield at, part, np.array([0, len(part)])
+
+
 def _find_runs(length: int, anchor: int):
     """mapInArrow: (id, key, body) to one row for each run of starts of one anchor."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_pieces(batch, "body"):
-                data, offsets = raw_text(piece.column(2))
+            for piece, at, data, offsets in ((p, *w) for p in text_pieces(batch, "body") for w in windows(*raw_text(p.column(2)), length - 1)):
                 doc, start, count, anchors, after = owned_starts(data, offsets, length, anchor)
                 view = memoryview(data)
                 lo = offsets[doc] + start
+                start = start + at
                 parts = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + count - 1 + length).tolist())]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
@@ -89,23 +107,30 @@ def _bucketed(p: dict, text: bytes, length: int, anchor: int) -> Iterator[tuple]
     """Rows (bucket, anchor, part, shift, copies, count, text) of one stretch.
 
     The bucket of a usual anchor is the anchor. Under a hot one, each string
-    holds so many bytes left of the anchor or else right of it; those decide
-    on its bucket, so equal strings still meet, and the stretch becomes two.
+    holds half of its other bytes left of the anchor or else right of it; those
+    decide on its bucket, so equal strings still meet, and the stretch becomes
+    two. Each further level deals out the rest of the bytes in the same way.
     """
-    if not p["hot"]:
-        yield p["anchor"], p["anchor"], p["part"], 0, p["copies"], p["count"], text
-        return
-    half, at = (length - anchor) // 2, p["after"]
-    cut = max(0, min(p["count"], at - half + 1))
-    for side, a, b, beside in ((b"l", 0, cut, text[max(0, at - half) : at]), (b"r", cut, p["count"], text[at + anchor : at + anchor + half])):
-        if a < b:
-            bucket = np.uint64(xxhash.xxh3_64_intdigest(side + text[at : at + anchor] + beside)).view(np.int64)
-            yield int(bucket), p["anchor"], p["part"], a, p["copies"], b - a, text[a : b - 1 + length]
+    groups = [(0, p["count"], p["after"], p["after"] + anchor, b"")]
+    for _ in range(p["levels"]):
+        dealt = []
+        for a, b, lo, hi, side in groups:  # starts from a to b, whose strings all hold the bytes from lo to hi
+            half = (length - (hi - lo)) // 2
+            if not half:
+                dealt.append((a, b, lo, hi, side))
+                continue
+            cut = max(a, min(b, lo - half + 1))
+            dealt += [g for g in ((a, cut, lo - half, hi, side + b"l"), (cut, b, lo, hi + half, side + b"r")) if g[0] < g[1]]
+        groups = dealt
+    for a, b, lo, hi, side in groups:
+        bucket = int(np.uint64(xxhash.xxh3_64_intdigest(side + text[lo:hi])).view(np.int64)) if p["levels"] else p["anchor"]
+        yield bucket, p["anchor"], p["part"], a, p["copies"], b - a, text[a : b - 1 + length]
 
 
 def _cut_parts(length: int, anchor: int):
     """mapInArrow: (body, parts) to rows with the bytes of each part."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body"):
@@ -132,10 +157,11 @@ def _sort_parts(length: int, limit: int):
                 out += [(anchor, part, a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["anchor", "part", "lo", "hi"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in (r for at in range(0, batch.num_rows, SORT_ROWS) for r in zip(*(c.to_pylist() for c in batch.slice(at, SORT_ROWS).columns))):
                 if rows and row[:4] == rows[-1][:4]:  # a repeated row of the table brought it twice
                     continue
                 if held > limit and row[0] != rows[-1][0]:
@@ -150,13 +176,14 @@ def _sort_parts(length: int, limit: int):
 
 
 def _report(length: int):
-    """mapInArrow: (id, body, cuts) to the digest of what is left of each document."""
+    """mapInArrow: (id, body, cuts, passages) to the digest of what is left of each document, and the words of its passages."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SORT_ROWS) for b in batches for at in range(0, b.num_rows, SORT_ROWS)):
             out = []
-            for body, cuts in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = body.as_buffer()
+            for body, cuts, passages in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                text = memoryview(body.as_buffer())
                 spans = merged(cuts)
                 kept = hashlib.sha256()
                 at = 0
@@ -164,9 +191,10 @@ def _report(length: int):
                     kept.update(text[at:a])
                     at = b
                 kept.update(text[at:])
-                out.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                words = sum(len(bytes(text[a:b]).split()) for a, b in merged(passages))
+                out.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), words))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
     return run
 
@@ -195,27 +223,39 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cannot repeat. Equal stretches of one anchor are counted before anything is
     shuffled with its bytes; one of each goes to a suffix array with the others
     of its anchor. Anchors with more than ``hot_parts`` different stretches are
-    dealt out further. Texts of one key have the same ranges and share a row.
+    dealt out in more levels the more they have. Texts of one key have the same
+    ranges and share a row. The result is a written table.
     """
     rows = keyed(docs, id_col, text_col)
     runs = rows.where(F.octet_length("body") >= length).mapInArrow(
         _find_runs(length, anchor), f"anchor long, part long, id {rows.schema[0].dataType.simpleString()}, key binary, start long, count long, after long"
     )
-    runs = materialise(runs)
-    # written before they are joined: joins of two plain tables can split a hot anchor's rows
-    twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    runs = materialise(runs.join(twice, "anchor", "left_semi"))
-    first = materialise(runs.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "id", "start", "count", "after")).alias("at")))
-    hot = materialise(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_parts).select("anchor", F.lit(True).alias("hot")))
-    part = F.struct("anchor", "part", "copies", F.col("at.start").alias("start"), F.col("at.count").alias("count"), F.col("at.after").alias("after"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = first.join(hot, "anchor", "left").groupBy(F.col("at.key").alias("key"), F.col("at.id").alias("id")).agg(F.collect_list(part).alias("parts"))
-    mine = F.struct("key", "id")
-    found = rows.where(F.octet_length("body") >= length).withColumn("of", mine).join(wanted.select(mine.alias("of"), "parts"), "of").select("body", "parts")
-    parts = found.mapInArrow(_cut_parts(length, anchor), "bucket long, anchor long, part long, shift long, copies long, count long, text binary")
-    hits = parts.repartition("bucket").sortWithinPartitions("bucket", "part", "shift").mapInArrow(_sort_parts(length, sort_bytes), "anchor long, part long, lo long, hi long")
-    places = runs.select("anchor", "part", "key", "start").distinct().join(hits, ["anchor", "part"])
-    cuts = places.select("key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("cut"))
-    return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts"))
+    spark = docs.sparkSession
+
+    def shared() -> DataFrame:
+        written = materialise(runs)
+        # written before they are joined: joins of two plain tables can split a hot anchor's rows
+        twice = materialise(written.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+        return written.join(twice, "anchor", "left_semi")
+
+    kept = settled(spark, shared)
+
+    def found() -> DataFrame:
+        first = materialise(kept.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "id", "start", "count", "after")).alias("at")))
+        levels = F.ceil(F.log2(F.col("n") / F.lit(hot_parts))).cast("int").alias("levels")
+        hot = materialise(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_parts).select("anchor", levels))
+        part = F.struct("anchor", "part", "copies", F.col("at.start").alias("start"), F.col("at.count").alias("count"), F.col("at.after").alias("after"), F.coalesce("levels", F.lit(0)).alias("levels"))
+        mine = F.struct("key", "id").alias("of")
+        wanted = first.join(hot, "anchor", "left").select(F.struct("at.key", "at.id").alias("of"), part.alias("part")).groupBy("of").agg(F.collect_list("part").alias("parts"))
+        stretches = rows.where(F.octet_length("body") >= length).select(mine, "body").join(wanted, "of").select("body", "parts")
+        parts = stretches.mapInArrow(_cut_parts(length, anchor), "bucket long, anchor long, part long, shift long, copies long, count long, text binary")
+        hits = parts.repartition("bucket").sortWithinPartitions("bucket", "part", "shift").mapInArrow(_sort_parts(length, sort_bytes), "anchor long, part long, lo long, hi long")
+        places = kept.select("anchor", "part", "key", "start").distinct().join(hits, ["anchor", "part"])
+        cuts = places.select("key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("cut"))
+        return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts"))
+
+    # a written table: its join with texts can split one that has very many copies
+    return settled(spark, found)
 
 
 def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...]:
@@ -236,7 +276,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = AN
     if m <= 0:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none, none, none
-    h = rolling.stretches(rolling.prefix_sums(data), start, end)
+    h = rolling.hashed(data, start, end)
 
     def joined(width: int) -> np.ndarray:
         key = np.zeros(len(h) - width + 1, np.uint64)
@@ -245,7 +285,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = AN
         return key
 
     low = joined(anchor)
-    low = ((low >> PLACE_BITS) << PLACE_BITS) | np.arange(len(low), dtype=np.uint64)
+    low = (low & ~PASSAGE_PLACE) | np.arange(len(low), dtype=np.uint64)
     wide, span = words - anchor + 1, 1
     while span * 2 <= wide:
         low = np.minimum(low[:-span], low[span:])
@@ -254,13 +294,14 @@ def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = AN
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
     inside = np.flatnonzero(doc[:m] == doc[words - 1 :])
     low = low[inside]
-    place = low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))
-    return doc[inside], joined(words)[inside], (low >> PLACE_BITS).astype(np.int64), place.astype(np.int64), start[inside], end[inside + words - 1]
+    place = low & PASSAGE_PLACE
+    return doc[inside], joined(words)[inside], (low & ~PASSAGE_PLACE).view(np.int64), place.astype(np.int64), start[inside], end[inside + words - 1]
 
 
 def _find_anchors(words: int):
     """mapInArrow: (of, body) to (of, anchor), one row for each run of passages of one anchor."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body", PASSAGE_BYTES):
@@ -274,6 +315,7 @@ def _find_anchors(words: int):
 def _find_passages(words: int):
     """mapInArrow: (key, body, anchors) to (key, passages), the passages of those anchors with their byte ranges."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body", PASSAGE_BYTES):
@@ -298,30 +340,53 @@ def repeated_passages(docs: DataFrame, words: int, id_col: str = "doc_id", text_
     hashes, and counts combine map-side, so one common passage crowds no task.
     """
     rows = keyed(docs, id_col, text_col).where(F.octet_length("body") >= 2 * words - 1).select(F.xxhash64("body").alias("of"), "key", "body")
-    runs = materialise(rows.select("of", "body").mapInArrow(_find_anchors(words), "of long, anchor long"))
-    twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    wanted = materialise(runs.join(twice, "anchor", "left_semi").groupBy("of").agg(F.collect_set("anchor").alias("anchors")))
-    found = rows.join(wanted, "of").select("key", "body", "anchors").mapInArrow(_find_passages(words), "key binary, passages array<struct<passage:long,lo:int,hi:int>>")
-    # numbers stand for the keys while single passages are shuffled, and are written so that they stay
-    found = materialise(found.withColumn("nr", F.monotonically_increasing_id()))
-    single = found.select("nr", F.inline("passages"))
-    again = materialise(single.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage"))
-    cut = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    cuts = single.join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
-    return found.select("nr", "key").join(cuts, "nr").groupBy("key").agg(F.any_value("cuts").alias("cuts"))
-
-
-def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
+    def found() -> DataFrame:
+        def wanted() -> DataFrame:
+            runs = materialise(rows.select("of", "body").mapInArrow(_find_anchors(words), "of long, anchor long"))
+            twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+            return runs.join(twice, "anchor", "left_semi").groupBy("of").agg(F.collect_set("anchor").alias("anchors"))
+
+        made = rows.join(settled(docs.sparkSession, wanted), "of").select("key", "body", "anchors").mapInArrow(_find_passages(words), "key binary, passages array<struct<passage:long,lo:int,hi:int>>")
+        # numbers stand for the keys while single passages are shuffled, and are written so that they stay
+        return made.withColumn("nr", F.monotonically_increasing_id())
+
+    def cuts() -> DataFrame:
+        held = settled(docs.sparkSession, found)
+        single = held.select("nr", F.inline("passages"))
+        again = materialise(single.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage"))
+        cut = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+        mine = single.join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
+        return held.select("nr", "key").join(mine, "nr").groupBy("key").agg(F.any_value("cuts").alias("cuts"))
+
+    return settled(docs.sparkSession, cuts)
+
+
+def covered(docs: DataFrame, id_col: str, text_col: str, length: int, words: int | None, **sizes) -> DataFrame:
+    """(key, cuts, passages): the ranges of ``repeated_ranges`` and, with ``words``, of ``repeated_passages``; a written table."""
+    kind = "array<struct<lo:bigint,hi:bigint>>"
+    cuts = repeated_ranges(docs, id_col, text_col, length, **sizes).select("key", "cuts", F.lit(None).cast(kind).alias("passages"))
+    if not words:
+        return cuts
+    passages = repeated_passages(docs, words, id_col, text_col).select("key", F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("passages"))
+    both = lambda: cuts.union(passages).groupBy("key").agg(F.any_value("cuts", True).alias("cuts"), F.any_value("passages", True).alias("passages"))
+    return settled(docs.sparkSession, both)
+
+
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None, **sizes) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words) for every row of ``docs``.
+
+    With ``words``, n_passage_words counts the words in runs of so many words
+    that start at two or more places, whatever their bytes; without, it is 0.
     Null texts are empty; texts of fewer than ``length`` bytes lose nothing;
     both copies of a repeated row lose what they share; a null id is kept; an
     empty table gives no rows. Other columns of ``docs`` are not looked at.
     """
-    cuts = repeated_ranges(docs, id_col, text_col, length, **sizes)
+    cuts = covered(docs, id_col, text_col, length, words, **sizes)
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()
-    return rows.join(cuts, "key", "left").select("id", "body", "cuts").mapInArrow(_report(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(cuts, "key", "left").select("id", "body", "cuts", "passages")
+    return joined.mapInArrow(_report(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None, **sizes) -> DataFrame:
@@ -331,10 +396,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few bytes they have. Cuts that would split a character are widened to whole characters. A null
     text stays null; all other columns stay as they are.
     """
-    cuts = repeated_ranges(docs, id_col, text_col, length, **sizes)
-    if words:
-        both = cuts.union(repeated_passages(docs, words, id_col, text_col))
-        cuts = both.groupBy("key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = covered(docs, id_col, text_col, length, words, **sizes)
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    cuts = cuts.select("key", F.concat(F.coalesce("cuts", none), F.coalesce("passages", none)).alias("cuts"))
 
     @F.pandas_udf("string")
     def left_over(body, spans):
@@ -360,10 +424,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_suffix_array_dedup(spark, sf_dir):
-    return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE_WORDS)
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, coalesce(strlen(text), 0) AS n FROM documents),
 c AS (SELECT doc_id, n, h, unnest(range(0, n - 399, 200)) AS b FROM d WHERE n >= 400),
 c2 AS MATERIALIZED (SELECT doc_id, b, least(200, n - 399 - b) AS m, substr(h, CAST(2 * b + 1 AS BIGINT), 1198) AS hb FROM c),
@@ -377,8 +441,14 @@ p AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM x GROUP BY doc_id, is
 q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM p),
 t AS (SELECT q.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS last,
              string_agg(substr(h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (lo - prev) AS BIGINT)), '' ORDER BY lo) AS front
-      FROM q JOIN d USING (doc_id) GROUP BY 1)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id)
+      FROM q JOIN d USING (doc_id) GROUP BY 1),
+pw AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+pg AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 50], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - 49)) AS i FROM pw WHERE len(w) > 50)),
+pr AS (SELECT m FROM pg GROUP BY m HAVING count(*) > 1),
+ps AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM pg SEMI JOIN pr USING (m)),
+pn AS (SELECT doc_id, CAST(sum(least(51, coalesce(next - i, 51))) AS BIGINT) AS n_passage_words FROM ps GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256,
+       coalesce(n_passage_words, 0) AS n_passage_words
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN pn ON pn.doc_id = d.doc_id
 """

@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.batches import text_pieces
-from lodestack.llm.components import connected_components
-from lodestack.llm.workspace import materialise, unused
+from lodestack.llm.batches import released, text_pieces
+from lodestack.llm.components import connected_components, with_roots
+from lodestack.llm.workspace import materialise, settled, unused
 
 BITS = 64
 #: Reference fingerprints; each linked pair differs by at most the radius in its distance to every one.
@@ -49,6 +49,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, tag, fp): the fingerprint of every whole text as a signed long, and a hash of the text; null texts count as empty."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body"):
@@ -142,6 +143,7 @@ def link_small(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: i
 def _link_partition(radius: int, small: int = 48):
     """mapInArrow function over rows (band, part, fp) sorted by (band, part)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
 
@@ -237,12 +239,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result. Other columns of ``docs`` are not looked at.
     """
     rows = materialise(with_fingerprints(docs, id_col, text_col, width))
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    count = nodes.count()
-    roots = connected_components(near_links(nodes.select("fp"), count, radius))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    comp = named.join(least, "root").select("fp", "root", "component_id")
+
+    def named() -> DataFrame:
+        nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        roots = connected_components(near_links(nodes.select("fp"), nodes.count(), radius))
+        return with_roots(nodes.withColumnRenamed("fp", "node"), roots).withColumnRenamed("node", "fp")
+
+    comp = settled(docs.sparkSession, named)
+    # two written tables: a join of theirs can split the rows of a fingerprint that very many texts have
     return rows.join(comp, "fp").select("doc_id", "tag", "fp", "root", "component_id")
 
 
@@ -254,7 +258,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty table gives no rows; other columns stay as they are.
     """
     of, tag = unused(docs, "of"), unused(docs, "tag")
-    rows = materialise(components(docs, id_col, text_col))
+    rows = settled(docs.sparkSession, lambda: components(docs, id_col, text_col))
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tag").alias(tag), F.first("component_id").alias(of))
     kept = docs.join(first.select(of, tag), F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(tag)), "left_semi")
     repeated = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)

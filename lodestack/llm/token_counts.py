@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.batches import text_pieces
+from lodestack.llm.batches import released, text_pieces
 
 #: Distinct pre-tokens whose counts a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
@@ -140,6 +140,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     null. Other columns of ``docs`` are not looked at.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(tokenizer)
         for batch in batches:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
@@ -43,9 +48,34 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    _paths().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _paths() -> list[str]:
+    """The tables that this thread has written and not yet deleted."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Writes what ``make`` returns, then deletes the tables that were written on the way to it.
+
+    The shuffle files of their plans go as well, as soon as the driver has
+    collected the plans, so disk holds one step of an operator and not all.
+    """
+    paths = _paths()
+    first = len(paths)
+    out = materialise(make())
+    for path in paths[first:-1]:
+        _remove(spark, path)
+    del paths[first:-1]
+    gc.collect()  # for the references that Python holds to plans
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as keep it apart from the columns of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

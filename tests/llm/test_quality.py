@@ -57,3 +57,12 @@ def test_paths_are_short_for_the_odd_one_out():
     x = np.r_[np.random.default_rng(0).normal(size=(300, 2)), [[9.0, 9.0]]]
     a = quality.anomaly(quality.grow(x), x)
     assert a.argmax() == 300 and quality.anomaly(quality.grow(x[:0]), x).tolist() == [0.0] * 301
+
+
+def test_unequal_lines_of_one_rolling_hash_are_not_repeats():
+    a = "0"
+    for _ in range(10):
+        a += a.translate(str.maketrans("01", "10"))
+    b = a.translate(str.maketrans("01", "10"))
+    for text in (f"{a}\n{b}", f"{a} u v w x {b} u v w x"):
+        assert quality.statistics(*raw_text(pa.array([text])))[0].tolist() == plain(text)
