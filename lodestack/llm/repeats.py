@@ -299,21 +299,27 @@ def passages(data: np.ndarray, offsets: np.ndarray, words: int, anchor: int = AN
 
 
 def _find_anchors(words: int):
-    """mapInArrow: (of, body) to (of, anchor), one row for each run of passages of one anchor."""
+    """mapInArrow: (of, body) to (of, anchors), one anchor for each run of passages."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, "body", PASSAGE_BYTES):
-                doc, _, anchors, place, _, _ = passages(*raw_text(piece.column(1)), words)
+                data, offsets = raw_text(piece.column(1))
+                doc, _, anchors, place, _, _ = passages(data, offsets, words)
                 first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else doc
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc[first])), pa.array(anchors[first])], ["of", "anchor"])
+                ends = pa.array(np.searchsorted(doc[first], np.arange(len(offsets))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(ends, pa.array(anchors[first]))], ["of", "anchors"])
 
     return run
 
 
 def _find_passages(words: int):
-    """mapInArrow: (key, body, anchors) to (key, passages), the passages of those anchors with their byte ranges."""
+    """mapInArrow: (key, body, copies, anchors) to (key, whole, passages).
+
+    ``passages`` are those of the anchors, with their byte ranges; ``whole`` is
+    the range from the first word to the last of a text that has copies, as all its passages repeat.
+    """
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,12 +328,13 @@ def _find_passages(words: int):
                 data, offsets = raw_text(piece.column(1))
                 doc, key, anchors, _, lo, hi = passages(data, offsets, words)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
-                keep = [a + np.flatnonzero(np.isin(anchors[a:b], have.values.to_numpy())) for a, b, have in zip(cut[:-1], cut[1:], piece.column(2))]
+                keep = [a + np.flatnonzero(np.isin(anchors[a:b], have.values.to_numpy())) if have.is_valid else np.zeros(0, np.int64) for a, b, have in zip(cut[:-1], cut[1:], piece.column(3))]
                 ends = pa.array(np.cumsum([0, *map(len, keep)]).astype(np.int32))
                 at = np.concatenate(keep).astype(np.int64)
                 found = [key[at].view(np.int64), (lo[at] - offsets[doc[at]]).astype(np.int32), (hi[at] - offsets[doc[at]]).astype(np.int32)]
                 rows = pa.StructArray.from_arrays([pa.array(c) for c in found], ["passage", "lo", "hi"])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(ends, rows)], ["key", "passages"])
+                whole = [{"lo": int(lo[a] - o), "hi": int(hi[b - 1] - o)} if n > 1 and a < b else None for a, b, o, n in zip(cut[:-1], cut[1:], offsets, piece.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(whole, pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.ListArray.from_arrays(ends, rows)], ["key", "whole", "passages"])
 
     return run
 
@@ -335,31 +342,38 @@ def _find_passages(words: int):
 def repeated_passages(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, cuts) as of ``repeated_ranges``: the byte ranges of runs of ``words`` words that start at two or more places.
 
-    Only passages whose anchor occurs twice can repeat; those of other anchors
+    Equal texts count once; all passages of a text with copies repeat. Of the
+    others only passages whose anchor occurs twice can; those of other anchors
     never leave the pass over their text. Passages are counted by 64-bit
     hashes, and counts combine map-side, so one common passage crowds no task.
     """
-    rows = keyed(docs, id_col, text_col).where(F.octet_length("body") >= 2 * words - 1).select(F.xxhash64("body").alias("of"), "key", "body")
+    spark = docs.sparkSession
+    rows = keyed(docs, id_col, text_col).where(F.octet_length("body") >= 2 * words - 1).select(F.xxhash64("key").alias("of"), "key", "body")
 
-    def found() -> DataFrame:
-        def wanted() -> DataFrame:
-            runs = materialise(rows.select("of", "body").mapInArrow(_find_anchors(words), "of long, anchor long"))
-            twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-            return runs.join(twice, "anchor", "left_semi").groupBy("of").agg(F.collect_set("anchor").alias("anchors"))
+    def wanted() -> DataFrame:
+        runs = rows.select("of", "body").mapInArrow(_find_anchors(words), "of long, anchors array<long>")
+        runs = materialise(runs.groupBy("of").agg(F.any_value("anchors").alias("anchors"))).select("of", F.explode("anchors").alias("anchor"))
+        twice = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+        return runs.join(twice, "anchor", "left_semi").groupBy("of").agg(F.collect_set("anchor").alias("anchors"))
 
-        made = rows.join(settled(docs.sparkSession, wanted), "of").select("key", "body", "anchors").mapInArrow(_find_passages(words), "key binary, passages array<struct<passage:long,lo:int,hi:int>>")
+    def found() -> DataFrame:
+        mine = settled(spark, wanted)
+        texts = rows.groupBy("of", "key").agg(F.any_value("body").alias("body"), F.count(F.lit(1)).alias("copies"))
+        texts = texts.join(mine, "of", "left").where("copies > 1 OR anchors IS NOT NULL").select("key", "body", "copies", "anchors")
+        kinds = "key binary, whole struct<lo:bigint,hi:bigint>, passages array<struct<passage:long,lo:int,hi:int>>"
         # numbers stand for the keys while single passages are shuffled, and are written so that they stay
-        return made.withColumn("nr", F.monotonically_increasing_id())
+        return texts.mapInArrow(_find_passages(words), kinds).withColumn("nr", F.monotonically_increasing_id())
 
     def cuts() -> DataFrame:
-        held = settled(docs.sparkSession, found)
+        held = settled(spark, found)
         single = held.select("nr", F.inline("passages"))
         again = materialise(single.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage"))
         cut = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-        mine = single.join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
-        return held.select("nr", "key").join(mine, "nr").groupBy("key").agg(F.any_value("cuts").alias("cuts"))
+        mine = held.where("whole IS NULL").select("nr", F.inline("passages")).join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
+        of_copies = held.where("whole IS NOT NULL").select("key", F.array("whole").alias("cuts"))
+        return held.select("nr", "key").join(mine, "nr").select("key", "cuts").union(of_copies)
 
-    return settled(docs.sparkSession, cuts)
+    return settled(spark, cuts)
 
 
 def covered(docs: DataFrame, id_col: str, text_col: str, length: int, words: int | None, **sizes) -> DataFrame:

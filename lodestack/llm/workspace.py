@@ -71,6 +71,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     for path in paths[first:-1]:
         _remove(spark, path)
     del paths[first:-1]
+    spark.sql("SELECT 1").collect()  # listeners hold the last plan that they were told of, so they are told of another
     gc.collect()  # for the references that Python holds to plans
     spark.sparkContext._jvm.System.gc()
     return out
