@@ -23,6 +23,8 @@ LENGTH = 400
 ANCHOR = 128
 #: Bytes that one suffix array takes, but for a single anchor's stretches.
 SORT_BYTES = 600_000
+#: The columns of a table of byte ranges.
+RANGES = "key binary, cuts array<struct<lo:bigint,hi:bigint>>"
 #: Rows of a batch that are made Python values at a time.
 SORT_ROWS = 500
 #: An anchor with more different stretches is dealt out by what stands beside it, as often as its number is twice as large.
@@ -210,6 +212,26 @@ def merged(cuts: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (key, cuts) to the same with ranges in order, those that touch or overlap made one."""
+    for batch in batches:
+        cuts = batch.column(1)
+        size = pa.compute.list_value_length(cuts).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = cuts.flatten()
+        lo, hi = (pa.compute.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        if len(lo):
+            span = int(hi.max()) + 2  # keeps each row's ranges beyond those of the row before
+            far = np.maximum.accumulate(hi + row * span)
+            first = np.flatnonzero(np.r_[True, (lo + row * span)[1:] > far[:-1]])
+            lo, hi, row = lo[first], np.maximum.reduceat(hi, first), row[first]
+        ends = pa.array(np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32))
+        spans = pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["lo", "hi"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, spans)], ["key", "cuts"])
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, body): the text as bytes and its digest; equal texts share a key."""
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -252,7 +274,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hits = parts.repartition("bucket").sortWithinPartitions("bucket", "part", "shift").mapInArrow(_sort_parts(length, sort_bytes), "anchor long, part long, lo long, hi long")
         places = kept.select("anchor", "part", "key", "start").distinct().join(hits, ["anchor", "part"])
         cuts = places.select("key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("cut"))
-        return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts"))
+        return cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts")).mapInArrow(_merge, RANGES)
 
     # a written table: its join with texts can split one that has very many copies
     return settled(spark, found)
@@ -371,7 +393,7 @@ def repeated_passages(docs: DataFrame, words: int, id_col: str = "doc_id", text_
         cut = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
         mine = held.where("whole IS NULL").select("nr", F.inline("passages")).join(again, "passage", "left_semi").groupBy("nr").agg(F.collect_list(cut).alias("cuts"))
         of_copies = held.where("whole IS NOT NULL").select("key", F.array("whole").alias("cuts"))
-        return held.select("nr", "key").join(mine, "nr").select("key", "cuts").union(of_copies)
+        return held.select("nr", "key").join(mine, "nr").select("key", "cuts").mapInArrow(_merge, RANGES).union(of_copies)
 
     return settled(spark, cuts)
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestack.llm import repeats, suffixes
@@ -83,3 +84,11 @@ def test_passage_words_count_runs_of_over_50_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_passage_words for r in repeats.removal_report(df, words=51).collect()}
     assert got == {0: 0, 1: 0, 10: 51, 11: 51, 20: 60, 21: 60, 30: 80, 31: 80, 90: 0, 91: 0}
+
+
+def test_ranges_merge_in_batches():
+    rng = np.random.default_rng(8)
+    cuts = [[{"lo": int(a), "hi": int(a + n)} for a, n in zip(rng.integers(0, 60, k), rng.integers(1, 9, k))] for k in rng.integers(0, 12, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"k"] * 200), pa.array(cuts, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["key", "cuts"])
+    (got,) = repeats._merge([batch])
+    assert [[(c["lo"], c["hi"]) for c in row] for row in got.column(1).to_pylist()] == [repeats.merged(c) for c in cuts]
