@@ -84,11 +84,11 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return out, total
 
 
-def sampled_rows(docs: DataFrame, counts: dict[str, int], text_col: str, lang_col: str, per_language: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Features, their shares of the text, and the language of a bounded sample.
+def sampled_rows(docs: DataFrame, counts: dict[str, int], text_col: str, lang_col: str, per_language: int) -> list[tuple[np.ndarray, np.ndarray, int, str]]:
+    """Features, how often each occurs, the length of the text, and the language of a bounded sample; six bytes a feature.
 
     A row is taken if a hash of its text falls below the share of its language's
-    rows that is wanted, so about ``per_language`` of each are fetched, as feature shares; four
+    rows that is wanted, so about ``per_language`` of each are fetched; four
     times as many at most, should a taken text have very many copies.
     """
     share = F.lit(0.0)
@@ -103,19 +103,19 @@ def sampled_rows(docs: DataFrame, counts: dict[str, int], text_col: str, lang_co
             for text, lang, place in zip(*(c.to_pylist() for c in batch.columns)):
                 feats, _ = features_of([text])
                 found, n = np.unique(feats, return_counts=True)
-                rows.append((found.tolist(), (n / feats.shape[0]).tolist(), lang, place))
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["feature", "share", "lang", "place"])
+                rows.append((found.astype(np.uint16).tobytes(), n.astype(np.uint32).tobytes(), feats.shape[0], lang, place))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["feature", "n", "size", "lang", "place"])
 
     taken = docs.where(part < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, lang_col).alias("place"))
-    got = taken.mapInArrow(run, "feature array<long>, share array<double>, lang string, place long").orderBy("place", "lang").limit(4 * per_language * max(1, len(counts))).collect()
-    return [(np.array(f), np.array(s), lang) for f, s, lang, _ in got]
+    got = taken.mapInArrow(run, "feature binary, n binary, size long, lang string, place long").orderBy("place", "lang").limit(4 * per_language * max(1, len(counts))).collect()
+    return [(np.frombuffer(f, np.uint16), np.frombuffer(n, np.uint32), size, lang) for f, n, size, lang, _ in got]
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-2, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple], classes: int, values=lambda r: r, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-2, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by follow-the-regularised-leader with L1 and L2 penalties.
 
-    Rows are (features, values, class). Returns weights and biases; a weight
+    ``values`` makes each row (features, values, class) when its turn comes. Returns weights and biases; a weight
     whose accumulated gradient stays within the L1 penalty is exactly zero.
     """
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
@@ -127,8 +127,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
     order = np.random.default_rng(11)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            feats, values, label = rows[i]
-            at, x = np.r_[feats, FEATURES], np.r_[values, 1.0]
+            feats, own, label = values(rows[i])
+            at, x = np.r_[feats, FEATURES], np.r_[own, 1.0]
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -167,9 +167,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     seen, total = document_frequencies(labelled, text_col)
     idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
-    rows = [(f, share * idf[f] * SCALE, languages.index(lang)) for f, share, lang in sampled_rows(labelled, counts, text_col, lang_col, per_language)]
-    held = rows[4::5]
-    w, b = fit_ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(languages))
+    rows = sampled_rows(labelled, counts, text_col, lang_col, per_language)
+    values = lambda r: (r[0].astype(np.int64), r[1] / r[2] * idf[r[0]] * SCALE, languages.index(r[3]))
+    held = [values(r) for r in rows[4::5]]
+    w, b = fit_ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(languages), values)
     scores = np.array([x @ w[f] + b for f, x, _ in held]).reshape(len(held), len(languages))
     t = fit_temperature(scores, np.array([r[2] for r in held], np.int64))
     return Model(languages, w * idf[:, None] * SCALE, b, t)

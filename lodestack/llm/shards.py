@@ -17,6 +17,8 @@ ARRIVAL_ROWS = 4_000
 #: Sizes within this factor are of one tier; so many files of a tier are merged.
 TIER_FACTOR = 4
 FAN_IN = 2
+#: Buckets that shards are numbered in.
+NUMBER_BUCKETS = 1024
 #: A merge plan of at most so many files is broadcast; a larger one is joined by shuffling.
 PLAN_BROADCAST_FILES = 50_000
 
@@ -156,8 +158,21 @@ def shard(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_B
     return store
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with ``shard``, a number of its own for each path, from 0 without gaps.
+
+    Numbers are ranks inside buckets of a path's hash on top of the counts of
+    the buckets before, so no task orders all paths.
+    """
+    files = files.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(NUMBER_BUCKETS)).cast("int"))
+    sizes = files.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))  # NUMBER_BUCKETS rows at most
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("path")) - 1
+    return files.join(F.broadcast(base), "bucket").withColumn("shard", (F.col("base") + rank).cast("int")).drop("bucket", "base")
+
+
 def op3_sharding(spark, sf_dir):
     store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    files = store.manifest().select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), F.col("rows").alias("shard_rows"), F.col("path").alias("_path"))
+    files = numbered(store.manifest()).select("shard", F.col("rows").alias("shard_rows"), F.col("path").alias("_path"))
     rows = store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("shard").alias("_path"))
-    return rows.join(F.broadcast(files) if files.count() <= PLAN_BROADCAST_FILES else files, "_path").select("doc_id", "n_bytes", "shard", "shard_rows", F.lit(store.version()).cast("long").alias("version"))
+    return rows.join(F.broadcast(files) if store.manifest().count() <= PLAN_BROADCAST_FILES else files, "_path").select("doc_id", "n_bytes", "shard", "shard_rows", F.lit(store.version()).cast("long").alias("version"))

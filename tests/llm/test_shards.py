@@ -65,3 +65,9 @@ def test_query_places_every_document_once(spark):
     for r in rows:
         counts[r.shard] = counts.get(r.shard, 0) + 1
     assert all(counts[r.shard] == r.shard_rows for r in rows)
+
+
+def test_numbers_are_dense_and_of_one_file_each(spark):
+    paths = [(f"d/{k}/part-00000-c{k % 3:03d}.parquet",) for k in range(40)]
+    got = sorted(r.shard for r in shards.numbered(spark.createDataFrame(paths, "path string")).collect())
+    assert got == list(range(40))
