@@ -34,8 +34,9 @@ def lenient_context(text: Column | str) -> Column:
 
 
 def joined_url(base: Column | str, path: Column | str) -> Column:
-    """Base and path with one slash between them."""
-    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+    """The base without slashes at its end and the path, with a slash before it if it has none."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.when(path.startswith("/"), "").otherwise("/"), path)
 
 
 def issue_problem(title: Column | str, project: Column | str) -> Column:

@@ -38,5 +38,8 @@ def error_class(status: Column, operation: Column, detail: Column) -> Column:
 
 
 def detail_of(body: Column, reason: Column) -> Column:
-    """The string field ``detail`` of a JSON body, else the body's text, else the reason."""
-    return F.coalesce(F.get_json_object(body, "$.detail"), F.nullif(F.trim(body), F.lit("")), reason)
+    """The field ``detail`` of a JSON body if it is a string, else the body as it is, else (null or empty) the reason."""
+    parsed = F.try_parse_json(body)
+    detail = F.try_variant_get(parsed, "$.detail", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(parsed, "$.detail", "variant")) == "STRING"
+    return F.coalesce(F.when(is_text, detail), F.nullif(body, F.lit("")), reason)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.operators.ranking import numbered
-
 #: Arrival numbers that share a bucket when next versions are numbered.
 BUCKET_SEQ = 10_000
 KEY = ("project", "asset", "representation")
@@ -17,24 +16,40 @@ def register(existing: DataFrame, requests: DataFrame, store: DataFrame | None =
     """Requests with version_number and outcome.
 
     ``requests`` has KEY, content_id, version (a number, or null for the next
-    one) and seq, the order of arrival. Next versions follow the latest of their
-    key. Outcomes: ok, version_conflict for a number that exists, and
-    content_not_found for content that the store lacks.
+    one) and seq, the order of arrival. Requests see those that arrived before
+    them: a next version follows the latest one, explicit ones of the batch
+    included, and of several claims on a number the first wins. Outcomes: ok,
+    version_conflict for a number that is taken, and content_not_found for
+    content that the store lacks; such a request takes no number.
+
+    The latest number after request i is N(i) + max(latest, v(j) - N(j)) over
+    explicit requests j up to i, where N counts next versions; both run inside
+    blocks of arrival numbers and over the blocks, so a hot key is not ordered
+    in one task.
     """
-    latest = existing.groupBy(*KEY).agg(F.max("version_number").alias("_latest"))
+    key = list(KEY)
+    latest = existing.groupBy(*key).agg(F.max("version_number").alias("_latest"))
     rows = requests
     if store is not None:
-        rows = rows.join(store.select("content_id").distinct().withColumn("_found", F.lit(True)), "content_id", "left")
+        rows = rows.join(store.select("content_id").distinct().withColumn("_found", F.lit(True)), "content_id", "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
     else:
         rows = rows.withColumn("_found", F.lit(True))
-    taken = existing.select(*KEY, F.col("version_number").alias("version")).distinct().withColumn("_taken", F.lit(True))
-    rows = rows.join(latest, list(KEY), "left").join(taken, [*KEY, "version"], "left")
-    next_one = F.col("version").isNull() & F.coalesce("_found", F.lit(False))
-    rows = numbered(rows.withColumn("_next", next_one), list(KEY), ["seq"], F.floor(F.col("seq") / BUCKET_SEQ), "_number", F.col("_next"))
-    number = F.coalesce("_latest", F.lit(0)) + F.col("_number")
-    outcome = F.when(~F.coalesce("_found", F.lit(False)), "content_not_found").when(F.col("_taken"), "version_conflict").otherwise("ok")
-    out = rows.withColumn("outcome", outcome).withColumn("version_number", F.when(F.col("outcome") == "ok", F.coalesce(F.col("version"), number)))
-    return out.drop("_latest", "_taken", "_found", "_next", "_number")
+    rows = rows.join(latest, key, "left").withColumn("_latest", F.coalesce("_latest", F.lit(0)).cast("long")).withColumn("_block", F.floor(F.col("seq") / BUCKET_SEQ))
+    inside = Window.partitionBy(*key, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    is_next = (F.col("version").isNull() & F.col("_found")).cast("long")
+    nexts = rows.groupBy(*key, "_block").agg(F.sum(is_next).alias("_n")).select(*key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = rows.join(nexts, [*key, "_block"]).withColumn("_nexts", F.col("_base") + F.sum(is_next).over(inside))
+    ahead = F.when(F.col("_found") & F.col("version").isNotNull(), F.col("version") - F.col("_nexts"))
+    tops = rows.groupBy(*key, "_block").agg(F.max(ahead).alias("_t")).select(*key, "_block", F.max("_t").over(before).alias("_top"))
+    rows = rows.join(tops, [*key, "_block"]).withColumn("_number", F.col("_nexts") + F.greatest("_latest", "_top", F.max(ahead).over(inside)))
+    rows = rows.withColumn("_number", F.coalesce(F.col("version").cast("long"), "_number"))
+    first = rows.where("_found").groupBy(*key, "_number").agg(F.min("seq").alias("_first"))
+    taken = existing.select(*key, F.col("version_number").cast("long").alias("_number")).distinct().withColumn("_taken", F.lit(True))
+    rows = rows.join(first, [*key, "_number"], "left").join(taken, [*key, "_number"], "left")
+    lost = F.col("_taken").isNotNull() | (F.col("_first") < F.col("seq"))
+    out = rows.withColumn("outcome", F.when(~F.col("_found"), "content_not_found").when(F.col("version").isNotNull() & lost, "version_conflict").otherwise("ok"))
+    return out.withColumn("version_number", F.when(F.col("outcome") == "ok", F.col("_number"))).select(*requests.columns, "outcome", "version_number")
 
 
 def resolve(versions: DataFrame, uris: DataFrame) -> DataFrame:
@@ -58,18 +73,67 @@ def sessions(heartbeats: DataFrame) -> DataFrame:
     return last.select("user_id", "session_id", "h.*")
 
 
+def _run(holder: int | None, actions, users) -> tuple[list, list, int | None]:
+    """The holder before each request, its outcome, and the holder after all."""
+    holders, outcomes = [], []
+    for action, user in zip(actions, users):
+        other = holder is not None and holder != user
+        holders.append(holder)
+        if action == "acquire":
+            outcomes.append("held_by_other" if other else "acquired")
+            holder = holder if other else user
+        else:
+            outcomes.append("not_found" if holder is None else "not_owner" if other else "released")
+            holder = holder if other else None
+    return holders, outcomes, holder
+
+
 def lock_requests(requests: DataFrame) -> DataFrame:
-    """Requests in order with the holder before each, and the outcome.
+    """(lock_key, user_id, action, ts, event_id) of requests in order with the holder before each, and the outcome.
+
+    An acquire is refused while another user holds the lock, a release unless
+    the user holds it; refused requests change nothing. Outcomes: acquired,
+    held_by_other, released, not_owner and not_found.
 
-    ``requests`` has lock_key, user_id, action (acquire or release), ts and
-    event_id. The holder is taken to be the user of the key's last request if
-    that was to acquire. Outcomes: acquired, held_by_other, released, not_owner
-    and not_found.
+    Requests of an hour are a block. What a block does to a holder is the same
+    for all who release nothing in it, so it is summed up in a row for a free
+    lock and one for each user who releases; only these are folded in order of
+    a key, and each block then runs by itself from the holder before it.
     """
-    order = Window.partitionBy("lock_key").orderBy("ts", "event_id")
-    before = F.lag(F.when(F.col("action") == "acquire", F.col("user_id"))).over(order)
-    rows = requests.withColumn("holder", before)
-    other = F.col("holder") != F.col("user_id")
-    acquire = F.when(other, "held_by_other").otherwise("acquired")
-    release = F.when(F.col("holder").isNull(), "not_found").when(other, "not_owner").otherwise("released")
-    return rows.withColumn("outcome", F.when(F.col("action") == "acquire", acquire).otherwise(release))
+    rows = requests.select("lock_key", "user_id", "action", "ts", "event_id").withColumn("block", F.date_trunc("hour", "ts"))
+
+    def effect(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["ts", "event_id"])
+        users = block.user_id.tolist()
+        sources = [None, *dict.fromkeys(u for u, a in zip(users, block.action) if a == "release")]
+        targets = [_run(s, block.action, users)[2] for s in sources]
+        return pd.DataFrame({"lock_key": key[0], "block": key[1], "source": pd.array(sources, "Int64"), "target": pd.array(targets, "Int64")})
+
+    def fold(key: tuple, effects: pd.DataFrame) -> pd.DataFrame:
+        holder, blocks, holders = None, [], []
+        value = lambda x: None if pd.isna(x) else int(x)
+        for block, own in effects.groupby("block", sort=True):
+            blocks.append(block)
+            holders.append(holder)
+            holder = {value(s): value(t) for s, t in zip(own.source, own.target)}.get(holder, holder)
+        return pd.DataFrame({"lock_key": key[0], "block": blocks, "start": pd.array(holders, "Int64")})
+
+    def outcomes(key: tuple, block: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["ts", "event_id"])
+        start = starts.start.iloc[0] if len(starts) else None
+        holders, found, _ = _run(None if pd.isna(start) else int(start), block.action, block.user_id.tolist())
+        return block.drop(columns="block").assign(holder=pd.array(holders, "Int64"), outcome=found)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    effects = rows.groupBy("lock_key", "block").applyInPandas(effect, f"lock_key {kinds['lock_key']}, block {kinds['block']}, source long, target long")
+    starts = effects.groupBy("lock_key").applyInPandas(fold, f"lock_key {kinds['lock_key']}, block {kinds['block']}, start long")
+    named = ", ".join(f"{c} {k}" for c, k in kinds.items() if c != "block")
+    return rows.groupBy("lock_key", "block").cogroup(starts.groupBy("lock_key", "block")).applyInPandas(outcomes, f"{named}, holder long, outcome string")
+
+
+def lock_holders(requests: DataFrame) -> DataFrame:
+    """(lock_key, holder, last): who holds each lock after its last request, null if it is free, and that request's event_id."""
+    done = lock_requests(requests)
+    after = F.when(F.col("outcome") == "acquired", F.col("user_id")).when(F.col("outcome") != "released", F.col("holder"))
+    last = done.groupBy("lock_key").agg(F.max_by(F.struct(after.alias("holder"), F.col("event_id").alias("last")), F.struct("ts", "event_id")).alias("l"))
+    return last.select("lock_key", "l.holder", "l.last")

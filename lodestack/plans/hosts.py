@@ -43,9 +43,14 @@ def url_join(spark, sf_dir):
     return _customers(spark, sf_dir).select("c_custkey", context.joined_url(base, path).alias("url"))
 
 
-@query("error_detail", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'plain' WHEN 2 THEN 'Reason' ELSE 'Reason' END AS detail FROM customer")
+@query(
+    "error_detail",
+    """SELECT c_custkey, CASE WHEN c_custkey % 35 = 33 THEN '{"detail":[{"msg":"x"}]}' WHEN c_custkey % 35 = 34 THEN ' {"detail":42} ' WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 5 = 1 THEN 'plain' WHEN c_custkey % 5 = 2 THEN ' ' ELSE 'Reason' END AS detail FROM customer""",
+)
 def error_detail(spark, sf_dir):
     body = F.when(F.col("k") == 0, F.concat(F.lit('{"detail":"'), "c_name", F.lit('"}'))).when(F.col("k") == 1, "plain").when(F.col("k") == 2, " ")
+    odd = F.col("c_custkey") % 35
+    body = F.when(odd == 33, '{"detail":[{"msg":"x"}]}').when(odd == 34, ' {"detail":42} ').otherwise(body)
     return _customers(spark, sf_dir).select("c_custkey", errors.detail_of(body, F.lit("Reason")).alias("detail"))
 
 
@@ -99,12 +104,12 @@ def task_options(spark, sf_dir):
 
 @query(
     "sanitized_selection",
-    """WITH a AS (SELECT c_nationkey AS project_id, min(c_name) AS first FROM customer GROUP BY 1)
-       SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN first ELSE first END AS asset_code, CASE WHEN n_nationkey % 3 = 0 THEN 'latest' ELSE '4' END AS version FROM nation JOIN a ON project_id = n_nationkey""",
+    """WITH a AS (SELECT c_nationkey AS project_id, min(c_name) AS first, max(c_name) AS last FROM customer GROUP BY 1)
+       SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN last ELSE first END AS asset_code, CASE WHEN n_nationkey % 3 = 0 THEN 'latest' ELSE '4' END AS version FROM nation JOIN a ON project_id = n_nationkey""",
 )
 def sanitized_selection(spark, sf_dir):
-    codes = tables.assets(spark, sf_dir).groupBy("project_id").agg(F.min("code").alias("first"))
-    wanted = tables.read(spark, sf_dir, "nation").join(codes, F.col("n_nationkey") == F.col("project_id")).withColumn("asked", F.when(F.col("n_nationkey") % 2 == 0, F.col("first")).otherwise("gone"))
+    codes = tables.assets(spark, sf_dir).groupBy("project_id").agg(F.min("code").alias("first"), F.max("code").alias("last"))
+    wanted = tables.read(spark, sf_dir, "nation").join(codes, F.col("n_nationkey") == F.col("project_id")).withColumn("asked", F.when(F.col("n_nationkey") % 2 == 0, F.col("last")).otherwise("gone"))
     known = tables.assets(spark, sf_dir).select(F.col("project_id").alias("_p"), F.col("code").alias("_code"))
     found = wanted.join(known, (F.col("_p") == F.col("project_id")) & (F.col("_code") == F.col("asked")), "left")
     version = F.coalesce(catalog.filled(F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise("4")), F.lit("latest"))
@@ -123,9 +128,3 @@ def navigator_items(spark, sf_dir):
 def active_users(spark, sf_dir):
     users = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), (F.col("s_acctbal") > 0).alias("is_active"))
     return catalog.list_rows(users, is_active=True).select("id", "username")
-
-
-@query("lock_status", "SELECT event_type AS lock_key, arg_max_null(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END, (ts, event_id)) AS holder, max(event_id) AS last FROM events GROUP BY 1")
-def lock_status(spark, sf_dir):
-    rows = tables.read(spark, sf_dir, "events").withColumn("h", F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
-    return rows.groupBy(F.col("event_type").alias("lock_key")).agg(F.max_by(F.struct("h"), F.struct("ts", "event_id"))["h"].alias("holder"), F.max("event_id").alias("last"))

@@ -26,12 +26,26 @@ def register_next_version(spark, sf_dir):
 
 @query(
     "register_outcomes",
-    f"""WITH {VERSIONS_SQL} SELECT doc_id, CASE WHEN content_id NOT IN (SELECT content_id FROM v WHERE doc_id % 3 <> 0) THEN 'content_not_found' WHEN doc_id % 2 = 0 THEN 'version_conflict' ELSE 'ok' END AS outcome FROM v""",
+    f"""WITH RECURSIVE {VERSIONS_SQL}, s AS (SELECT DISTINCT content_id FROM v WHERE doc_id % 3 <> 0),
+    q AS (SELECT project, asset, doc_id, content_id IN (SELECT content_id FROM s) AS found, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN version_number ELSE version_number + 3 END AS asked,
+                 row_number() OVER (PARTITION BY project, asset ORDER BY doc_id) AS i FROM v),
+    e AS (SELECT project, asset, list(version_number) AS taken FROM v WHERE version_number <= 3 GROUP BY 1, 2),
+    r(project, asset, i, taken, doc_id, outcome, version_number) AS (
+      SELECT project, asset, 0::BIGINT, taken, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM e
+      UNION ALL
+      SELECT project, asset, i, CASE WHEN outcome = 'ok' THEN list_append(taken, number) ELSE taken END, doc_id, outcome, CASE WHEN outcome = 'ok' THEN number END FROM (
+        SELECT r.project, r.asset, q.i, r.taken, q.doc_id, coalesce(q.asked, list_max(r.taken) + 1) AS number,
+               CASE WHEN NOT q.found THEN 'content_not_found' WHEN q.asked IS NOT NULL AND list_contains(r.taken, q.asked) THEN 'version_conflict' ELSE 'ok' END AS outcome
+        FROM r JOIN q ON q.project = r.project AND q.asset = r.asset AND q.i = r.i + 1))
+    SELECT doc_id, outcome, version_number FROM r WHERE i > 0""",
 )
 def register_outcomes(spark, sf_dir):
     v = tables.versions(spark, sf_dir)
-    asked = v.select(*versions.KEY, "content_id", F.when(F.col("doc_id") % 2 == 0, F.col("version_number")).alias("version"), F.col("doc_id").alias("seq"))
-    return versions.register(v, asked, v.where("doc_id % 3 <> 0").select("content_id")).select(F.col("seq").alias("doc_id"), "outcome")
+    k = F.col("doc_id") % 5
+    asked = F.when(k == 1, F.col("version_number")).when(k > 1, F.col("version_number") + 3).cast("int")
+    requests = v.select(*versions.KEY, "content_id", asked.alias("version"), F.col("doc_id").alias("seq"))
+    out = versions.register(v.where("version_number <= 3"), requests, v.where("doc_id % 3 <> 0").select("content_id"))
+    return out.select(F.col("seq").alias("doc_id"), "outcome", "version_number")
 
 
 @query(
@@ -68,13 +82,26 @@ def presence_sessions(spark, sf_dir):
     return versions.sessions(_events(spark, sf_dir).select("user_id", F.col("event_type").alias("session_id"), "event_id", "value", "ts")).select("user_id", "session_id", "event_id", "value")
 
 
-@query(
-    "lock_conflicts",
-    """WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'release' ELSE 'acquire' END AS action, lag(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END) OVER (PARTITION BY event_type, user_id % 7 ORDER BY ts, event_id) AS holder FROM events)
-       SELECT event_id, holder, CASE WHEN action = 'acquire' THEN CASE WHEN holder <> user_id THEN 'held_by_other' ELSE 'acquired' END
-              WHEN holder IS NULL THEN 'not_found' WHEN holder <> user_id THEN 'not_owner' ELSE 'released' END AS outcome FROM r""",
-)
+LOCKS_SQL = """q AS (SELECT *, row_number() OVER (PARTITION BY lock_key ORDER BY ts, event_id) AS i FROM (SELECT {key} AS lock_key, ts, event_id, user_id, event_id % 3 <> 0 AS acquires FROM events)),
+    r(lock_key, i, event_id, before, outcome, holder) AS (
+      SELECT DISTINCT lock_key, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM q
+      UNION ALL
+      SELECT q.lock_key, q.i, q.event_id, r.holder,
+             CASE WHEN acquires THEN CASE WHEN r.holder <> user_id THEN 'held_by_other' ELSE 'acquired' END WHEN r.holder IS NULL THEN 'not_found' WHEN r.holder <> user_id THEN 'not_owner' ELSE 'released' END,
+             CASE WHEN r.holder <> user_id THEN r.holder WHEN acquires THEN user_id END
+      FROM r JOIN q ON q.lock_key = r.lock_key AND q.i = r.i + 1)"""
+
+
+def _lock_requests(spark, sf_dir, key):
+    return _events(spark, sf_dir).select(key.alias("lock_key"), "user_id", F.when(F.col("event_id") % 3 == 0, "release").otherwise("acquire").alias("action"), "ts", "event_id")
+
+
+@query("lock_conflicts", f"WITH RECURSIVE {LOCKS_SQL.format(key="event_type || '/' || (user_id % 7)")} SELECT event_id, before AS holder, outcome FROM r WHERE i > 0")
 def lock_conflicts(spark, sf_dir):
     key = F.concat_ws("/", "event_type", (F.col("user_id") % 7).cast("string"))
-    rows = _events(spark, sf_dir).select(key.alias("lock_key"), "user_id", F.when(F.col("event_id") % 3 == 0, "release").otherwise("acquire").alias("action"), "ts", "event_id")
-    return versions.lock_requests(rows).select("event_id", "holder", "outcome")
+    return versions.lock_requests(_lock_requests(spark, sf_dir, key)).select("event_id", "holder", "outcome")
+
+
+@query("lock_status", f"WITH RECURSIVE {LOCKS_SQL.format(key='event_type')} SELECT lock_key, arg_max_null(holder, i) AS holder, max(event_id) FILTER (i = n) AS last FROM (SELECT *, max(i) OVER (PARTITION BY lock_key) AS n FROM r WHERE i > 0) GROUP BY lock_key")
+def lock_status(spark, sf_dir):
+    return versions.lock_holders(_lock_requests(spark, sf_dir, F.col("event_type")))

@@ -69,10 +69,25 @@ def test_versions_and_locks(spark):
     asked = spark.createDataFrame([("p", "a", "r", "h", None, 1), ("p", "a", "r", "h", 4, 2), ("p", "a", "r", "h", 9, 3), ("p", "a", "r", "gone", None, 4), ("p", "a", "r", "h", None, 20005), ("q", "a", "r", "h", None, 6)], "project string, asset string, representation string, content_id string, version int, seq long")
     store = spark.createDataFrame([("h",)], "content_id string")
     got = {r.seq: (r.outcome, r.version_number) for r in versions.register(old, asked, store).collect()}
-    assert got == {1: ("ok", 5), 2: ("version_conflict", None), 3: ("ok", 9), 4: ("content_not_found", None), 20005: ("ok", 6), 6: ("ok", 1)}
+    assert got == {1: ("ok", 5), 2: ("version_conflict", None), 3: ("ok", 9), 4: ("content_not_found", None), 20005: ("ok", 10), 6: ("ok", 1)}
 
 
 def test_numbers_of_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 10 > 0, "hot").alias("k"), "id")
     out = numbered(df, ["k"], ["id"], F.floor(F.col("id") / 300), "n").groupBy("k").agg(F.min("n"), F.max("n"), F.countDistinct("n"), F.corr("n", "id").alias("c")).collect()
     assert {(r[0], r[1], r[2], r[3]) for r in out} == {("hot", 1, 4500, 4500), (None, 1, 500, 500)} and all(r.c > 0.999 for r in out)
+
+
+def test_refused_requests_change_no_lock(spark):
+    asked = [("k", 1, "acquire"), ("k", 2, "acquire"), ("k", 2, "release"), ("k", 1, "release"), ("k", 1, "release"), ("k", 2, "acquire"), ("k", 1, "acquire")]
+    rows = spark.createDataFrame([(*r, f"2024-01-01 {h:02d}:00:00", i) for i, (r, h) in enumerate(zip(asked, (0, 0, 1, 1, 2, 3, 9)))], "lock_key string, user_id long, action string, at string, event_id long").selectExpr("*", "to_timestamp_ntz(at) AS ts")
+    got = [(r.holder, r.outcome) for r in sorted(versions.lock_requests(rows).collect(), key=lambda r: r.event_id)]
+    assert got == [(None, "acquired"), (1, "held_by_other"), (1, "not_owner"), (1, "released"), (None, "not_found"), (None, "acquired"), (2, "held_by_other")]
+    assert [tuple(r) for r in versions.lock_holders(rows).collect()] == [("k", 2, 6)]
+
+
+def test_claims_of_one_batch_see_each_other(spark):
+    old = spark.createDataFrame([("p", "a", "r", 3)], "project string, asset string, representation string, version_number int")
+    asked = spark.createDataFrame([("p", "a", "r", "h", v, s) for s, v in ((1, 4), (2, None), (3, 4), (30_000, 5), (30_001, 9), (60_000, None))], "project string, asset string, representation string, content_id string, version int, seq long")
+    got = {r.seq: (r.outcome, r.version_number) for r in versions.register(old, asked).collect()}
+    assert got == {1: ("ok", 4), 2: ("ok", 5), 3: ("version_conflict", None), 30_000: ("version_conflict", None), 30_001: ("ok", 9), 60_000: ("ok", 10)}
