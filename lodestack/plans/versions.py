@@ -26,10 +26,10 @@ def register_next_version(spark, sf_dir):
 
 @query(
     "register_outcomes",
-    f"""WITH RECURSIVE {VERSIONS_SQL}, s AS (SELECT DISTINCT content_id FROM v WHERE doc_id % 3 <> 0),
-    q AS (SELECT project, asset, doc_id, content_id IN (SELECT content_id FROM s) AS found, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN version_number ELSE version_number + 3 END AS asked,
+    f"""WITH RECURSIVE {VERSIONS_SQL}, s AS MATERIALIZED (SELECT DISTINCT content_id FROM v WHERE doc_id % 3 <> 0),
+    q AS MATERIALIZED (SELECT project, asset, doc_id, content_id IN (SELECT content_id FROM s) AS found, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN version_number ELSE version_number + 3 END AS asked,
                  row_number() OVER (PARTITION BY project, asset ORDER BY doc_id) AS i FROM v),
-    e AS (SELECT project, asset, list(version_number) AS taken FROM v WHERE version_number <= 3 GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT project, asset, list(version_number) AS taken FROM v WHERE version_number <= 3 GROUP BY 1, 2),
     r(project, asset, i, taken, doc_id, outcome, version_number) AS (
       SELECT project, asset, 0::BIGINT, taken, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM e
       UNION ALL
@@ -82,7 +82,7 @@ def presence_sessions(spark, sf_dir):
     return versions.sessions(_events(spark, sf_dir).select("user_id", F.col("event_type").alias("session_id"), "event_id", "value", "ts")).select("user_id", "session_id", "event_id", "value")
 
 
-LOCKS_SQL = """q AS (SELECT *, row_number() OVER (PARTITION BY lock_key ORDER BY ts, event_id) AS i FROM (SELECT {key} AS lock_key, ts, event_id, user_id, event_id % 3 <> 0 AS acquires FROM events)),
+LOCKS_SQL = """q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lock_key ORDER BY ts, event_id) AS i FROM (SELECT {key} AS lock_key, ts, event_id, user_id, event_id % 3 <> 0 AS acquires FROM events)),
     r(lock_key, i, event_id, before, outcome, holder) AS (
       SELECT DISTINCT lock_key, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM q
       UNION ALL
