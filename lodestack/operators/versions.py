@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Arrival numbers that share a bucket when next versions are numbered.
-BUCKET_SEQ = 10_000
 KEY = ("project", "asset", "representation")
 
 
@@ -23,9 +21,9 @@ def register(existing: DataFrame, requests: DataFrame, store: DataFrame | None =
     content that the store lacks; such a request takes no number.
 
     The latest number after request i is N(i) + max(latest, v(j) - N(j)) over
-    explicit requests j up to i, where N counts next versions; both run inside
-    blocks of arrival numbers and over the blocks, so a hot key is not ordered
-    in one task.
+    explicit requests j up to i, where N counts next versions: two running
+    aggregates in the order of arrival, so the requests of one key in a batch
+    are ordered in one task (without being held in memory there).
     """
     key = list(KEY)
     latest = existing.groupBy(*key).agg(F.max("version_number").alias("_latest"))
@@ -34,19 +32,13 @@ def register(existing: DataFrame, requests: DataFrame, store: DataFrame | None =
         rows = rows.join(store.select("content_id").distinct().withColumn("_found", F.lit(True)), "content_id", "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
     else:
         rows = rows.withColumn("_found", F.lit(True))
-    rows = rows.join(latest, key, "left").withColumn("_latest", F.coalesce("_latest", F.lit(0)).cast("long")).withColumn("_block", F.floor(F.col("seq") / BUCKET_SEQ))
-    inside = Window.partitionBy(*key, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    is_next = (F.col("version").isNull() & F.col("_found")).cast("long")
-    nexts = rows.groupBy(*key, "_block").agg(F.sum(is_next).alias("_n")).select(*key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rows = rows.join(nexts, [*key, "_block"]).withColumn("_nexts", F.col("_base") + F.sum(is_next).over(inside))
+    rows = rows.join(latest, key, "left").withColumn("_latest", F.coalesce("_latest", F.lit(0)).cast("long"))
+    until = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_nexts", F.sum((F.col("version").isNull() & F.col("_found")).cast("long")).over(until))
     ahead = F.when(F.col("_found") & F.col("version").isNotNull(), F.col("version") - F.col("_nexts"))
-    tops = rows.groupBy(*key, "_block").agg(F.max(ahead).alias("_t")).select(*key, "_block", F.max("_t").over(before).alias("_top"))
-    rows = rows.join(tops, [*key, "_block"]).withColumn("_number", F.col("_nexts") + F.greatest("_latest", "_top", F.max(ahead).over(inside)))
-    rows = rows.withColumn("_number", F.coalesce(F.col("version").cast("long"), "_number"))
-    first = rows.where("_found").groupBy(*key, "_number").agg(F.min("seq").alias("_first"))
+    rows = rows.withColumn("_number", F.coalesce(F.col("version").cast("long"), F.col("_nexts") + F.greatest("_latest", F.max(ahead).over(until))))
     taken = existing.select(*key, F.col("version_number").cast("long").alias("_number")).distinct().withColumn("_taken", F.lit(True))
-    rows = rows.join(first, [*key, "_number"], "left").join(taken, [*key, "_number"], "left")
+    rows = rows.withColumn("_first", F.min(F.when(F.col("_found"), F.col("seq"))).over(Window.partitionBy(*key, "_number"))).join(taken, [*key, "_number"], "left")
     lost = F.col("_taken").isNotNull() | (F.col("_first") < F.col("seq"))
     out = rows.withColumn("outcome", F.when(~F.col("_found"), "content_not_found").when(F.col("version").isNotNull() & lost, "version_conflict").otherwise("ok"))
     return out.withColumn("version_number", F.when(F.col("outcome") == "ok", F.col("_number"))).select(*requests.columns, "outcome", "version_number")
