@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,49 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(shifted)) for b in range(256)]
 
 
+#: Code points whose classes are compared at a time.
+CLASS_BLOCK = 1 << 14
+
+
+def differing(normalizer, classes: tuple[str, ...]) -> list[str]:
+    """The characters that the library's tables put in another class, or normalize otherwise, than Python's do."""
+    out: set[str] = set()
+    whole = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+    for at in range(0, len(whole), CLASS_BLOCK):
+        block = whole[at : at + CLASS_BLOCK]
+        for name in classes:
+            rest = tokenizers.pre_tokenizers.Split(tokenizers.Regex(name), "removed").pre_tokenize_str(block)
+            theirs = np.ones(len(block), bool)
+            for _, (a, b) in rest:
+                theirs[a:b] = False
+            ours = np.zeros(len(block), bool)
+            ours[[m.start() for m in regex.finditer(name.replace(r"\s", r"\p{White_Space}"), block)]] = True
+            out.update(block[k] for k in np.flatnonzero(theirs != ours).tolist())
+        # a letter keeps the characters apart where they are normalized
+        plain = [unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() for c in block]
+        if normalizer.normalize_str("x".join(block)) != "x".join(" " if c.isspace() and regex.fullmatch(r"\p{White_Space}", c) else p for c, p in zip(block, plain)):
+            out.update(c for c, p in zip(block, plain) if normalizer.normalize_str(c) != p and not regex.fullmatch(r"\p{White_Space}", c))
+    return sorted(out)
+
+
+def any_of(chars: list[str]) -> re.Pattern:
+    """A pattern for one of the sorted characters, as runs of code points."""
+    runs: list[list[int]] = []
+    for c in map(ord, chars):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in runs) + "]" if runs else "(?!)")
+
+
 class WordBpe:
     """Counts tokens as a byte-level BPE tokenizer file with word-end symbols gives them.
 
     The file's normalizer (NFC, runs of white space as one space, lower case),
     its split pattern, its merges and its special tokens are read from ``path``.
+    Parts of texts with a character that the library's Unicode tables class
+    otherwise than Python's are normalized and split by the library.
     """
 
     def __init__(self, path: str):
@@ -50,6 +90,9 @@ class WordBpe:
         self.spaces = regex.compile(r"\p{White_Space}+")
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        self.library_split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(split), "removed", invert=True)
+        self.odd = any_of(differing(self.normalizer, (r"\p{L}", r"\p{N}", r"\s")))
         self.known: dict[str, int] = {}
 
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
@@ -57,6 +100,9 @@ class WordBpe:
         parts = self.specials.split(text)
         words: list[str] = []
         for part in parts:
+            if not part.isascii() and self.odd.search(part):
+                words += [w for w, _ in self.library_split.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             words += self.split.findall(self.spaces.sub(" ", part).lower())

@@ -24,3 +24,13 @@ def test_rows(spark):
     out = sorted((tuple(r) for r in token_counts.count_tokens(df, PATH).collect()), key=str)
     assert out == sorted([(1, 11, 2, False), (1, 11, 2, False), (None, 0, 0, False), (3, 0, 0, False), (4, 6000, 3000, True)], key=str)
     assert token_counts.count_tokens(df.limit(0), PATH).collect() == []
+
+
+def test_every_code_point_counts_as_in_the_library():
+    lib, own = Tokenizer.from_file(PATH), token_counts.WordBpe(PATH)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1" for c in every[at : at + 8]) for at in range(0, len(every), 8)]
+    texts += ["x\u0558y", "a\u208f\u209db", "\ua7cbx \ua7dc", "e\u0301\u0558E\u0301"]
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    got = own.count(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
