@@ -188,10 +188,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``; rows with a null id are judged by that id together."""
-    name = unused(docs, "bad")
-    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that hold no item of ``benchmark``; rows are told apart by id and text, so one that shares an id, or has none, is judged by its own text."""
+    mine = unused(docs, "mine")
+    rows = docs.withColumn(mine, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag")))
+    bad = contaminated(rows, benchmark, mine, text_col, **how).select(F.col("doc_id").alias(mine)).distinct()
+    return rows.join(bad, mine, "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_decontamination(spark, sf_dir):

@@ -45,3 +45,10 @@ def test_sketches_cannot_miss():
     for n in range(1, 60):
         k = dc.least_shared(n)
         assert k * 5 >= 4 * n and (k == 1 or (k - 1) * 5 < 4 * n)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, "clean"), (None, f"{item} z"), (None, "clean too"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, (r.text for r in dc.drop_contaminated(docs, items).collect()))) == ["None", "clean", "clean too"]
