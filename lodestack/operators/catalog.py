@@ -62,13 +62,13 @@ def same_stage(wanted: str, stage: Column | str) -> Column:
 def palette(assets: DataFrame, groups: DataFrame, query: str, search: tuple[str, ...] = ("code", "name", "type"), preview_assets: int = 8, preview_versions: int = 12) -> DataFrame:
     """One row a project: how many assets fit, the first codes, the chosen asset and its versions, latest first.
 
-    The chosen asset is the first that fits. Previews are cut by rank, which
+    The chosen asset is the first that fits, by code and then by id. Previews are cut by rank, which
     Spark limits before it shuffles, so no group is collected beyond its preview.
     ``groups`` has asset_id and version_number.
     """
     fits = filter_assets(assets, query, search)
-    per = fits.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_assets"), F.min("code").alias("asset_code"))
-    chosen = per.join(assets.select("project_id", F.col("code").alias("asset_code"), F.col("id").alias("asset_id")), ["project_id", "asset_code"])
+    per = fits.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_assets"), F.min(F.struct("code", "id")).alias("c"))
+    chosen = per.select("project_id", "n_assets", F.col("c.code").alias("asset_code"), F.col("c.id").alias("asset_id"))
     first = fits.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("code"))).where(F.col("rank") <= preview_assets)
     codes = first.groupBy("project_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     own = groups.join(chosen.select("asset_id"), "asset_id", "left_semi")
@@ -111,9 +111,9 @@ def switch_representation(groups: DataFrame, stage: str = "modelling") -> DataFr
     return groups.groupBy("asset_id").agg(F.coalesce(F.min_by("representation", F.when(fits, F.col("version_number"))).alias("r"), F.lit(DEFAULT_REPRESENTATION)).alias("representation"))
 
 
-def my_tasks(tasks: DataFrame, users: DataFrame, name: str) -> DataFrame:
-    """Tasks that name a user of this name, as assignee, assignee of many or collaborator."""
-    who = name.strip().lower()
+def my_tasks(tasks: DataFrame, users: DataFrame, name: Column | str) -> DataFrame:
+    """Tasks that name a user of this name (a text or a scalar column), as assignee, assignee of many or collaborator."""
+    who = F.lower(F.trim(F.lit(name)))
     mine = users.where((F.lower("username") == who) | (F.lower("name") == who)).select(F.col("id").cast("string").alias("_user"))
     ids = F.explode(F.array_compact(F.array_union(F.array(F.col("assignee_id").cast("string")), F.coalesce(F.col("collaborators").cast("array<string>"), F.array().cast("array<string>")))))
     keys = tasks.select(F.col("id").alias("_task"), ids.alias("_user")).join(mine, "_user", "left_semi").select("_task")

@@ -20,6 +20,13 @@ def test_error_classes(spark):
     assert set(errors.PARENTS.values()) <= set(errors.PARENTS) | {"ApiError"}
 
 
+def test_palette_chooses_one_of_equal_codes(spark):
+    assets = spark.createDataFrame([(i, 1, "a", "n", "t") for i in (7, 5, 6)], "id long, project_id long, code string, name string, type string")
+    groups = spark.createDataFrame([(5, 2), (6, 9)], "asset_id long, version_number int")
+    rows = catalog.palette(assets, groups, "").collect()
+    assert [(r.n_assets, r.codes, r.versions) for r in rows] == [(3, "a,a,a", "2")]
+
+
 def test_palette_of_a_project(spark):
     assets = spark.createDataFrame([(1, "hero", "Hero", "char", 7), (2, "box", None, "prop", 7), (3, "hut", "Hut", "prop", 8)], "id long, code string, name string, type string, project_id long")
     groups = spark.createDataFrame([(1, n) for n in range(1, 15)] + [(2, 2), (2, 2)], "asset_id long, version_number int")

@@ -179,6 +179,26 @@ def test_stages(spark):
         scenes.repack(b"PK\x03\x04 broken")
 
 
+def test_long_strings_close_at_an_unescaped_quote():
+    ends = {'";': True, 'a";  ': True, 'a\\";': False, 'a\\\\";': True, 'a"; b': False, "": False, "a": False, '\\";': False}
+    assert {line: scenes.closes(line) for line in ends} == ends
+    assert scenes.quantized('1.5 "1.5 x" -2.25e1 "open 1.5', 0) == '2 "1.5 x" -22 "open 1.5'
+
+
+def test_options_of_canonicalisers_and_bad_files(spark):
+    assert [scenes.enabled(f, True) for f in (None, "", "0", " YES ", "on", "2")] == [True, False, False, True, True, False]
+    raw, zeroed = block_file()
+    numeric, rounded = (f'setAttr ".vt" -type "pointArray" 1 {x};'.encode() for x in ("1.26", "1.3"))
+    rows = [(1, raw, "blocks"), (2, numeric, "text"), (3, b"\xff", "text"), (4, b"nothing", "blocks"), (5, b"PK\x03\x04 broken", "stage"), (6, None, "text"), (7, b"x", "other"), (8, b"x", None)]
+    df = spark.createDataFrame(rows, "id long, body binary, kind string")
+    asked = scenes.Options(decimals=1, zero_pointers=True, repack_archives=True)
+    got = {r.id: (r.o.body and bytes(r.o.body), r.o.error) for r in df.select("id", scenes.canonical_outcome("body", "kind", asked).alias("o")).collect()}
+    assert got[1] == (zeroed, None) and got[2] == (rounded, None)
+    assert all(got[i][0] is None and got[i][1] for i in (3, 4, 5)) and all(got[i] == (None, None) for i in (6, 7, 8))
+    plain = {r.id: r.b and bytes(r.b) for r in df.select("id", scenes.canonical("body", "kind").alias("b")).collect()}
+    assert plain == {1: raw, 2: numeric, 5: rows[4][1]} | dict.fromkeys((3, 4, 6, 7, 8))
+
+
 def test_eviction_takes_the_oldest_first(spark):
     rows = [(k, f"f{k}", "p", s, t, 0) for k, s, t in (("a", 10, 1), ("b", 10, 5000), ("c", 10, 5000), ("d", 5, 9000))]
     index = spark.createDataFrame(rows, "content_id string, filename string, rel_path string, size_bytes long, last_accessed_at long, created_at long")
