@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.llm.workspace import materialise
+
 #: Tokens of a window without its system turn, and those of them that repeated history may take.
 WINDOW_TOKENS = 512
 HISTORY_TOKENS = 128
@@ -37,10 +39,11 @@ def _prefixed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``before``, the tokens of a conversation's earlier turns.
 
     Sums run inside blocks of turn numbers and over the blocks' totals, so that
-    no task orders a whole conversation's texts, however long it is.
+    no task orders a whole conversation's texts, however long it is. Rows that
+    are wholly equal may stand in either order, as their sums are then the same.
     """
     rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv_id", "block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
     totals = totals.select(
@@ -71,24 +74,26 @@ def format_windows(conversations: DataFrame, window_tokens: int = WINDOW_TOKENS,
     history = min(history_tokens, window_tokens // 3)
     stride = max(1, (window_tokens - history) // 2)
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("m")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
     at = F.floor(F.col("before") / stride)
     alone = (F.col("n") > stride) & (F.floor((F.col("before") + F.col("n") - 1) / stride) != at)
-    turns = _prefixed(rows.withColumn("n", tokens("text"))).withColumn("window", 2 * at + alone.cast("long"))
+    # written once, as five branches below read it; those without texts read only the columns that they need
+    turns = materialise(_prefixed(rows.withColumn("n", tokens("text"))).withColumn("window", 2 * at + alone.cast("long")))
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("text", "rank", "window", "n"), "rank").alias("sys"))
     begins = turns.groupBy("conv_id", "window").agg(F.min("before").alias("begin"), F.min("rank").alias("first"))
     begins = begins.select(F.col("conv_id").alias("_c"), F.col("window").alias("_w"), "begin", "first")
+    begins = begins.join(system.select(F.col("conv_id").alias("_s"), F.col("sys.rank").alias("sys_rank")), F.col("_c").eqNullSafe(F.col("_s")), "left").drop("_s")
     same = F.col("conv_id").eqNullSafe(F.col("_c"))
-    new = turns.select("conv_id", "window", F.lit(1).alias("fresh"), "rank", "role", "text", "n")
+    part = lambda fresh: F.struct("rank", F.struct(F.lit(fresh).alias("fresh"), "role", "text", "n").alias("t")).alias("part")
+    new = turns.select("conv_id", "window", part(1))
     # history reaches back a stride at most, so it is that of windows of the same or the next stride
     later = F.explode(F.sequence(F.col("window") + 1, 2 * F.floor(F.col("window") / 2) + 3))
     old = turns.withColumn("later", later).join(begins, same & (F.col("later") == F.col("_w"))).where(F.col("begin") - F.col("before") <= history)
-    old = old.select("conv_id", F.col("_w").alias("window"), F.lit(0).alias("fresh"), "rank", "role", "text", "n")
-    kept = begins.join(system.select(F.col("conv_id").alias("_s"), "sys"), F.col("_c").eqNullSafe(F.col("_s"))).where(F.col("sys.rank") < F.col("first"))
-    kept = kept.select(F.col("_c").alias("conv_id"), F.col("_w").alias("window"), F.lit(-1).alias("fresh"), F.col("sys.rank").alias("rank"), F.lit("system").alias("role"), F.col("sys.text").alias("text"), F.col("sys.n").alias("n"))
-    # the system turn may be history as well; each turn stands once in a window
-    parts = new.union(old).union(kept).groupBy("conv_id", "window", "rank").agg(F.min_by(F.struct("fresh", "role", "text", "n"), "fresh").alias("t"))
-    listed = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("turns"))
+    # a system turn that is history as well stands once in a window, as the system turn
+    old = old.where(~F.col("rank").eqNullSafe(F.col("sys_rank"))).select("conv_id", F.col("_w").alias("window"), part(0))
+    kept = begins.join(system.select(F.col("conv_id").alias("_s"), "sys"), F.col("_c").eqNullSafe(F.col("_s"))).where(F.col("sys_rank") < F.col("first"))
+    kept = kept.select(F.col("_c").alias("conv_id"), F.col("_w").alias("window"), F.col("sys.rank").alias("rank"), F.lit("system").alias("role"), F.col("sys.text").alias("text"), F.col("sys.n").alias("n"))
+    parts = new.union(old).union(kept.select("conv_id", "window", part(-1)))
+    listed = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("part")).alias("turns"))
     head = lambda x: F.concat(F.lit(OPEN), F.when(x["t"]["fresh"] == 1, "new").otherwise("old"), F.lit("|"), escaped(x["t"]["role"]), F.lit(CLOSE))
     made = listed.withColumn("turns", F.transform("turns", lambda x: F.struct(head(x).alias("head"), escaped(x["t"]["text"]).alias("body"), ((x["t"]["fresh"] == 1) & (x["t"]["role"] == "assistant")).alias("target"), x["t"]["n"].alias("n"))))
     spans = F.aggregate(
