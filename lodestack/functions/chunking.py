@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -90,17 +91,16 @@ class Cutter:
         return out
 
 
-def digest(data: bytes, algo: str) -> str:
-    return hashlib.sha256(data).hexdigest() if algo == "sha2" else blake3.digest(data).hex()
+def hex_digests(parts: list[bytes], algo: str) -> list[str]:
+    return [hashlib.sha256(p).hexdigest() for p in parts] if algo == "sha2" else [d.hex() for d in blake3.digests(parts)]
 
 
 def chunk_list(data: bytes, config: ChunkingConfig, forced: Iterable[int] = (), algo: str = "sha2", base: int = 0) -> list[dict]:
     """(offset, size, content_hash) of the chunks; offsets count from ``base``."""
-    out, at = [], 0
-    for size in Cutter(data, config, forced).sizes():
-        out.append({"offset": base + at, "size": size, "content_hash": digest(data[at : at + size], algo)})
-        at += size
-    return out
+    sizes = Cutter(data, config, forced).sizes()
+    starts = [0, *itertools.accumulate(sizes)]
+    hashes = hex_digests([data[at : at + size] for at, size in zip(starts, sizes)], algo)
+    return [{"offset": base + at, "size": size, "content_hash": h} for at, size, h in zip(starts, sizes, hashes)]
 
 
 def chunks(body: Column | str, config: ChunkingConfig, forced: Column | None = None, algo: str = "sha2") -> Column:
@@ -109,7 +109,7 @@ def chunks(body: Column | str, config: ChunkingConfig, forced: Column | None = N
     def one(data, cuts):
         if data is None:
             return None
-        return chunk_list(data, config, () if cuts is None else cuts, algo) or [{"offset": 0, "size": 0, "content_hash": digest(b"", algo)}]
+        return chunk_list(data, config, () if cuts is None else cuts, algo) or [{"offset": 0, "size": 0, "content_hash": hex_digests([b""], algo)[0]}]
 
     @F.pandas_udf(CHUNKS)
     def run(data: pd.Series, cuts: pd.Series) -> pd.Series:

@@ -14,7 +14,9 @@ ALGORITHMS = ("sha2", "blake3")
 def _blake3_hex(body: Column | str) -> Column:
     @F.pandas_udf("string")
     def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else blake3.digest(b).hex())
+        out = pd.Series(None, index=data.index, dtype=object)
+        out[data.notna()] = [d.hex() for d in blake3.digests(data.dropna())]
+        return out
 
     return run(body)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.functions.errors import error_class
-from lodestack.functions.hashing import shard_path
+from lodestack.functions.hashing import content_id, shard_path
 from lodestack.operators import blobs, cache
 from lodestack.plans.registry import query
 from lodestack.sources import tables
@@ -16,6 +16,24 @@ def blob_catalog(spark, sf_dir):
     return tables.blobs(spark, sf_dir).select("doc_id", "content_id", "filename", "size")
 
 
+# Published digests of the bytes 0, 1, .. 250, 0, 1, .. by their number.
+BLAKE3_DIGESTS = {
+    0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262",
+    1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213",
+    1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11",
+    1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+    1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+    2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+}
+
+
+@query("blake3_digests", "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{h}')" for n, h in BLAKE3_DIGESTS.items()) + ") v(n_bytes, digest)")
+def blake3_digests(spark, sf_dir):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, BLAKE3_DIGESTS))).alias("n_bytes"))
+    ring = bytes(range(251)).hex() * (max(BLAKE3_DIGESTS) // 251 + 1)
+    return rows.select("n_bytes", content_id(F.substring(F.unhex(F.lit(ring)), F.lit(1), F.col("n_bytes")), "blake3").alias("digest"))
+
+
 @query(
     "exact_dedup_report",
     """

@@ -24,6 +24,20 @@ def test_published_digests_and_table():
     assert len({blake3.digest(bytes(n)) for n in (1023, 1024, 1025, 2048, 2049, 5000)}) == 6
 
 
+def test_digests_do_not_depend_on_what_is_mixed_beside_them(monkeypatch):
+    rng = random.Random(9)
+    items = [rng.randbytes(n) for n in (0, 1, 64, 65, 1024, 1025, 2049, 3072, 3073, 5000, 8193, 16385, 31744)]
+    alone = [blake3.digest(x) for x in items]
+    assert blake3.digests(items) == alone and blake3.digests(items[::-1]) == alone[::-1] and blake3.digests([]) == []
+    monkeypatch.setattr(blake3, "SIDE_BYTES", 4096)
+    assert blake3.digests(items) == alone
+    ring = bytes(range(251)) * 130
+    # Fixed values, which a block-by-block version in plain Python gave as well
+    assert blake3.digest(ring[:2049]).hex() == "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030"
+    assert blake3.digest(ring[:3072]).hex() == "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2"
+    assert blake3.digest(ring[:31744]).hex() == "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47"
+
+
 def plain_sizes(data, config, forced=()):
     """Chunk sizes by rolling the hash byte by byte."""
     bits, gear, out, at = chunking.mask_bits(config.avg_size), blake3.gear_table(), [], 0
