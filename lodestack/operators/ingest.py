@@ -144,9 +144,8 @@ def materialize(listed: DataFrame, store: DataFrame) -> DataFrame:
     a chunk that the store lacks have a null body.
     """
     parts = listed.join(store, "hash", "left")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "body"))), lambda p: p["body"])
-    whole = parts.groupBy("file_id").agg(ordered.alias("parts"), F.count(F.lit(1)).alias("n"), F.count("body").alias("found"))
-    body = F.when(F.col("n") == F.col("found"), F.unhex(F.array_join(F.transform("parts", lambda b: F.hex(b)), "")))
+    whole = parts.groupBy("file_id").agg(F.expr("listagg(body) within group (order by pos)").alias("joined"), F.count(F.lit(1)).alias("n"), F.count("body").alias("found"))
+    body = F.when(F.col("n") == F.col("found"), F.col("joined"))
     return whole.select("file_id", body.alias("body")).withColumns({"size": F.octet_length("body").cast("long"), "content_id": F.sha2("body", 256)})
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lodestack.functions import blake3, chunking, entropy
 from lodestack.functions.chunking import ChunkingConfig
 from lodestack.functions.entropy import EntropyConfig
-from lodestack.operators import blobs, ingest
+from lodestack.operators import blobs, ingest, restore
 from lodestack.plans.registry import query
 from lodestack.sources import tables
 
@@ -157,3 +158,25 @@ def omni_ingest_roundtrip(spark, sf_dir):
 def publish_counts(spark, sf_dir):
     rows = tables.blobs(spark, sf_dir).select("doc_id", "filename", "body")
     return ingest.publish(rows, SMALL).select("doc_id", "chunk_count", "uploaded_chunks", "manifest_id")
+
+
+#: What is done to the manifests of documents by id, and the error that it must give.
+SPOILED = (("\"size_bytes\":", "\"size_bytes\":9", "size_mismatch"), ("^.", "", "not_an_object"), ("\"whole_file_blake3\":\"", "\"whole_file_blake3\":\"0", "hash_mismatch"), ("hash\":\"[0-9a-f]", "hash\":\"x", "blob_not_found"))
+
+
+@query(
+    "materialize_v3",
+    f"""WITH d AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS filename, coalesce(encode(text), ''::BLOB) AS b, text IS NULL AS gone, doc_id % {len(SPOILED) + 1} AS k FROM documents),
+    e AS (SELECT *, CASE {" ".join(f"WHEN k = {i} AND ({i} <> 3 OR octet_length(b) > 0) THEN '{err}'" for i, (_, _, err) in enumerate(SPOILED))} END AS error FROM d WHERE NOT gone)
+    SELECT doc_id, CASE WHEN error IS NULL THEN octet_length(b) END AS size, CASE WHEN error IS NULL THEN sha256(b) END AS content_id, error FROM e""",
+)
+def materialize_v3(spark, sf_dir):
+    # parents as in omni_ingest_roundtrip; all blobs are stored, the manifests of four of five documents are spoiled
+    rows = tables.blobs(spark, sf_dir).where("body is not null").select("doc_id", "filename", "body", F.encode(F.reverse(F.decode("body", "UTF-8")), "UTF-8").alias("parent"), F.lit("parent").alias("parent_id"))
+    # blobs and manifests are read several times; trained dictionaries are dear, so they are kept on disk (and made again if lost)
+    made = ingest.ingest(rows, SMALL, WINDOWS).select("doc_id", "manifest", "_made").persist(StorageLevel.DISK_ONLY)
+    text = F.col("manifest")
+    for i, (pattern, new, _) in enumerate(SPOILED):
+        text = F.when(F.col("doc_id") % (len(SPOILED) + 1) == i, F.regexp_replace("manifest", pattern, new)).otherwise(text)
+    back = restore.from_manifests(made.select(F.col("doc_id").alias("file_id"), text.alias("manifest")), ingest.new_blobs(made))
+    return back.select(F.col("file_id").alias("doc_id"), "size", "content_id", "error")
