@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -129,12 +130,12 @@ def chunks_in_range(spark, sf_dir):
        SELECT doc_id, CASE WHEN n < 2 THEN 0 WHEN ceil(n / step::DOUBLE) < 2 THEN 2 ELSE CAST(ceil(n / step::DOUBLE) AS BIGINT) END AS n_samples, step FROM t""",
 )
 def training_samples(spark, sf_dir):
-    n = F.col("size")
-    target = F.least(F.lit(256).cast("long"), F.greatest(F.lit(8).cast("long"), F.floor(n / 4096)))
-    rows = tables.blobs(spark, sf_dir).select("doc_id", "size", target.alias("target"))
-    rows = rows.withColumn("step", F.least(F.lit(262144).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(n / F.col("target")))))
-    count = F.ceil(n / F.col("step"))
-    return rows.select("doc_id", F.when(n < 2, F.lit(0).cast("long")).when(count < 2, F.lit(2).cast("long")).otherwise(count).alias("n_samples"), "step")
+    @F.pandas_udf("n_samples bigint, step bigint")
+    def run(data: pd.Series) -> pd.DataFrame:
+        counts = [None if b is None else len(ingest.training_samples(b)) for b in data]
+        return pd.DataFrame({"n_samples": pd.array(counts, "Int64"), "step": [ingest.training_step(len(b or b""))[1] for b in data]})
+
+    return tables.blobs(spark, sf_dir).select("doc_id", run("body").alias("s")).select("doc_id", "s.*")
 
 
 @query("omni_ingest_roundtrip", "SELECT doc_id, sha256(text) AS content_id, strlen(text) AS size, true AS restored FROM documents")
@@ -180,3 +181,22 @@ def materialize_v3(spark, sf_dir):
         text = F.when(F.col("doc_id") % (len(SPOILED) + 1) == i, F.regexp_replace("manifest", pattern, new)).otherwise(text)
     back = restore.from_manifests(made.select(F.col("doc_id").alias("file_id"), text.alias("manifest")), ingest.new_blobs(made))
     return back.select(F.col("file_id").alias("doc_id"), "size", "content_id", "error")
+
+
+#: One window a file and no file of high entropy, so that a file's segments are its chunks.
+WHOLE = EntropyConfig(1 << 27, 9.0, 10.0)
+
+
+@query(
+    "omni_manifest_v3",
+    f"""WITH c AS MATERIALIZED ({CDC_SQL}), s AS (SELECT doc_id, string_agg('{{"hash":"' || content_hash || '","kind":"raw_chunk","size":' || size || '}}', ',' ORDER BY "offset") AS segments FROM c WHERE size > 0 GROUP BY 1),
+    m AS (SELECT doc_id, '{{"chunking":{{"algo":"fastcdc","avg":{SMALL.avg_size},"max":{SMALL.max_size},"min":{SMALL.min_size}}},"filename":"' || source || '/' || doc_id || '.txt","hash_algo":"sha2",'
+          || '"omni":{{"dcc_canonical":false,"engine_version":"omni-v2","entropy_thresholds":{{"high":{WHOLE.high},"low":{WHOLE.low}}},"source_blake3":"' || sha256(text) || '","source_size_bytes":' || strlen(text) || ',"window_size":{WHOLE.window_size}}},'
+          || '"schema":"asset.manifest.v3","segments":[' || coalesce(segments, '') || '],"size_bytes":' || strlen(text) || ',"whole_file_blake3":"' || sha256(text) || '"}}' AS manifest
+          FROM documents LEFT JOIN s USING (doc_id))
+    SELECT doc_id, manifest, sha256(manifest) AS manifest_id FROM m""",
+)
+def omni_manifest_v3(spark, sf_dir):
+    none = F.lit(None)
+    rows = tables.blobs(spark, sf_dir).select("doc_id", "filename", "body", none.cast("binary").alias("parent"), none.cast("string").alias("parent_id"))
+    return ingest.ingest(rows, SMALL, WHOLE).select("doc_id", "manifest", "manifest_id")

@@ -82,13 +82,12 @@ def text_scene_canonical(spark, sf_dir):
     WHERE ltrim(line, chr(9) || ' ') LIKE 'createNode animCurve%' OR (contains(line, '.ktv[') AND ltrim(line, chr(9) || ' ') LIKE 'setAttr %') OR contains(line, '-type "pointArray"') GROUP BY 1""",
 )
 def semantic_anchors(spark, sf_dir):
-    # running sums of line lengths, in one expression over the array of lines
-    lines = F.split(_scene(SCENE), "\n")
-    bare = lambda x: F.regexp_replace(x, r"^\s+", "")
-    marked = lambda x: bare(x).startswith("createNode animCurve") | (F.contains(x, F.lit(".ktv[")) & bare(x).startswith("setAttr ")) | x.rlike('-type "(?:' + "|".join(scenes.ANCHOR_TYPES) + ')"')
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
-    step = lambda a, x: F.struct((a["at"] + F.octet_length(x) + 1).alias("at"), F.when(marked(x), F.array_append(a["found"], a["at"])).otherwise(a["found"]).alias("found"))
-    return _customers(spark, sf_dir).select("c_custkey", F.array_join(F.aggregate(lines, empty, step, lambda a: a["found"]).cast("array<string>"), ",").alias("anchors"))
+    @F.pandas_udf("array<bigint>")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else scenes.anchor_offsets(bytes(b)))
+
+    found = run(F.encode(_scene(SCENE), "UTF-8"))
+    return _customers(spark, sf_dir).select("c_custkey", F.array_join(found.cast("array<string>"), ",").alias("anchors"))
 
 
 @query("float_quantize", "SELECT c_custkey, 'setAttr \".vt\" -type \"pointArray\" 2 ' || c_custkey || '.25000 -0.12300 \"1.5\" 1000.00000 x1.5;' AS line FROM customer")
@@ -125,10 +124,12 @@ def _block_file(pointer: int, code_hex: str, key):
 def block_layout(spark, sf_dir):
     k = F.col("doc_id") % 3
     raw = F.encode(F.when(k == 0, "BLENDER-v400").when(k == 1, "BLENDER_V279").otherwise("BLENDER17-01v0500"), "UTF-8")
-    ascii_ = lambda a, n: F.decode(F.substring(F.col("raw"), a, n), "UTF-8")
-    new = ascii_(8, 2) == "17"
-    rows = tables.read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
-    return rows.select("doc_id", F.when(new | (ascii_(8, 1) == "-"), 8).otherwise(4).alias("pointer"), F.when(new, ascii_(13, 1) == "v").otherwise(ascii_(9, 1) == "v").alias("little"), F.when(new, 17).otherwise(12).alias("header"))
+
+    @F.pandas_udf("pointer int, little boolean, header int")
+    def run(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([scenes.block_layout(bytes(b)) for b in data], columns=["pointer", "little", "header"])
+
+    return tables.read(spark, sf_dir, "documents").select("doc_id", run(raw).alias("at")).select("doc_id", "at.*")
 
 
 @query(
