@@ -20,8 +20,12 @@ def missing(files: DataFrame, store: DataFrame) -> DataFrame:
     return new.groupBy("content_id").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))
 
 
-def upload(files: DataFrame, store_path: str) -> DataFrame:
-    """Appends to the Parquet store what it lacks, in folders by hash prefix; returns what was appended."""
+def upload(files: DataFrame, store_path: str, spread: int = 64) -> DataFrame:
+    """Appends to the Parquet store what it lacks, in folders by hash prefix; returns what was appended.
+
+    A prefix is written by up to ``spread`` tasks, so that the 256 prefixes do not
+    bound how many tasks write; adaptive execution joins small ones.
+    """
     spark = files.sparkSession
     try:
         have = spark.read.parquet(store_path).select("content_id")
@@ -30,7 +34,7 @@ def upload(files: DataFrame, store_path: str) -> DataFrame:
             raise
         have = files.select("content_id").limit(0)
     new = files.join(have, "content_id", "left_anti").dropDuplicates(["content_id"]).withColumn("prefix", F.substring("content_id", 1, 2))
-    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(store_path)
+    new.repartition("prefix", F.pmod(F.xxhash64("content_id"), F.lit(spread))).write.mode("append").partitionBy("prefix").parquet(store_path)
     return new.drop("prefix")
 
 
