@@ -14,12 +14,12 @@ BUCKET_SECONDS = 3600
 def upsert(index: DataFrame | None, writes: DataFrame) -> DataFrame:
     """The index after ``writes``: the last write of a key wins, its creation time stays.
 
-    ``writes`` has content_id, FIELDS and ``seq``, which orders writes of one second.
+    ``writes`` has content_id, FIELDS and ``seq``, any number or null, which orders writes of one second.
     """
-    rows = writes.select("content_id", *FIELDS, F.col("last_accessed_at").alias("created_at"), "seq")
+    rows = writes.select("content_id", *FIELDS, F.col("last_accessed_at").alias("created_at"), "seq", F.lit(True).alias("new"))
     if index is not None:
-        rows = rows.unionByName(index.select("content_id", *FIELDS, "created_at", F.lit(-1).cast("long").alias("seq")))
-    last = F.max_by(F.struct(*FIELDS), F.struct(F.col("seq") >= 0, "last_accessed_at", "seq")).alias("last")
+        rows = rows.unionByName(index.select("content_id", *FIELDS, "created_at", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("new")))
+    last = F.max_by(F.struct(*FIELDS), F.struct("new", "last_accessed_at", "seq")).alias("last")
     return rows.groupBy("content_id").agg(last, F.min("created_at").alias("created_at")).select("content_id", "last.*", "created_at")
 
 
