@@ -30,8 +30,9 @@ def touch(index: DataFrame, touches: DataFrame) -> DataFrame:
 
 
 def delete(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """The index without the keys."""
-    return index.join(keys.select("content_id"), "content_id", "left_anti")
+    """The index without the keys; a null key is one key as well."""
+    gone = keys.select(F.col("content_id").alias("_gone"))
+    return index.join(gone, F.col("content_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def lookup(index: DataFrame, content_id: str) -> DataFrame:

@@ -40,6 +40,15 @@ def test_seconds_come_from_rounded_milliseconds(spark, tmp_path, zone):
     assert got == want and len(got) == len(edges) + 3
 
 
+@pytest.mark.parametrize("last", ["click", "view", None])
+def test_touch_and_delete_at_edges(spark, tmp_path, last):
+    base = 1_704_067_200_000_000
+    rows = [(k, moment(base + k * 1_000_000 + 999_500), k % 6, ("view", "click", "error")[k % 3], 1.0, "") for k in range(40)]
+    rows += [(100, moment(base), None, "error", 2.0, ""), (101, moment(base + 9_000_000), None, last, 3.0, ""), (105, None, 7, "view", 4.0, "")]
+    got, want = against_sql(spark, tmp_path, "cache_touch_delete", rows)
+    assert got == want and len(got) > 3
+
+
 def test_new_writes_win_whatever_their_number(spark):
     kinds = "content_id string, filename string, rel_path string, size_bytes long, last_accessed_at long, seq long"
     index = cache.upsert(None, spark.createDataFrame([("a", "f", "r", 1, 50, 7), ("b", "f", "r", 1, 50, 7)], kinds))
