@@ -22,7 +22,10 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, the one with the least id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, the one with the least id.
+
+    SimHash fingerprints of the shingles within ``similar.RADIUS`` bits nominate pairs, MinHash bands those further apart; exact similarity decides.
+    """
     return simhash.drop_near_duplicates(docs, components=similar.similar_components)
 
 

@@ -22,6 +22,15 @@ PIVOTS = 24
 BUCKET_LIMIT = 20_000
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        block = h[at : at + (1 << 15)]
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The majority bits of the XXH64 (seed 42) of all word shingles of ``text``.
 
@@ -38,12 +47,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     starts = [0, *ends]
     cut = (line[a : b - 1] for a, b in zip(starts, ends[width - 1 :]))
     n = len(words) - width + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, cut, itertools.repeat(42)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):
-        block = h[at : at + (1 << 15)]
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, cut, itertools.repeat(42)), np.uint64, n))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of their word shingles; MinHash bands nominate, sets decide."""
+"""Near copies by the exact Jaccard similarity of their word shingles; SimHash fingerprints nominate, MinHash bands add what lies further apart, sets decide."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm import rolling
+from lodestack.llm import rolling, simhash
 from lodestack.llm.batches import raw_text, released, text_pieces
 from lodestack.llm.components import connected_components, with_roots
 from lodestack.llm.decontaminate import hashed_shingles
 from lodestack.llm.workspace import materialise, settled
 
 WIDTH = 5
+#: Differing bits up to which fingerprints nominate a pair. Near copies of similarity 0.8 differ in some 10 bits, with 6 to
+#: either side; a wider radius multiplies the choices of equal blocks, so bands nominate those pairs.
+RADIUS = 6
 #: A pair of similarity 0.8 agrees on no band with probability (1 - 0.8**4)**24 = 3e-6, one of more similarity less often.
 BANDS, BAND_ROWS = 24, 4
 #: Texts, and shingles, that a slice of nominated texts holds on average; larger groups are compared slice by slice.
@@ -62,7 +65,7 @@ def band_keys(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 @released
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (doc_id, tag, body) to (doc_id, tag, node, n, bands); node is a hash of the text's set."""
+    """mapInArrow: (doc_id, tag, body) to (doc_id, tag, node, n, fp, bands); node is a hash of the text's set, fp its SimHash."""
     factors = _factors()
     for batch in batches:
         for piece in text_pieces(batch, "body", PIECE_BYTES):
@@ -70,7 +73,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             bands = np.array([band_keys(s, factors) for s in sets], np.uint64).reshape(-1).view(np.int64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))], ["doc_id", "tag", "node", "n", "bands"])
+            fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+            columns = [piece.column(0), piece.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.ListArray.from_arrays(ends, pa.array(bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "node", "n", "fp", "bands"])
 
 
 @released
@@ -137,17 +142,33 @@ def _link_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(nodes, sets)
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (src, dst) of ``nodes`` (node, fp) whose components hold all pairs within ``radius`` bits, by ``simhash.near_links``.
+
+    Its pairs meet in buckets of equal bits, distances to pivots discard them,
+    survivors are verified. Nodes of one fingerprint hang on the least of them.
+    """
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("low")))
+    links = simhash.near_links(fps.select("fp"), fps.count(), radius)
+    for end in ("src", "dst"):
+        links = links.join(fps.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low")), end)
+    same = nodes.join(fps, "fp").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    return same.union(links.select(F.col("src_low").alias("src"), F.col("dst_low").alias("dst")))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, slice_texts: int = SLICE_TEXTS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """Edges (src, dst) of nodes whose components are those of all nominated pairs that are similar.
 
-    Nodes that agree on a band are joined to the least of them; the components
-    of those edges hold every nominated pair. A component beyond the size of a
-    slice is cut into slices, and each two slices meet in a task of their own,
-    so none is unbounded and no pair is left out.
+    Nodes of near fingerprints are joined, and nodes that agree on a band are
+    joined to the least of them; the components of those edges hold every
+    nominated pair. A component beyond the size of a slice is cut into slices,
+    and each two slices meet in a task of their own, so none is unbounded and
+    no pair is left out.
     """
     keys = nodes.select("node", F.explode("bands").alias("key"))
     low = materialise(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
-    roots = connected_components(keys.join(low, "key").select(F.col("node").alias("src"), F.col("low").alias("dst")))
+    banded = keys.join(low, "key").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    roots = connected_components(fingerprint_links(nodes.select("node", "fp")).union(banded))
     members = materialise(nodes.join(roots, "node").select("node", "n", "at", "root"))
     slices = F.ceil(F.greatest(F.count(F.lit(1)) / slice_texts, F.sum("n") / slice_shingles)).cast("int")
     members = members.join(members.groupBy("root").agg(slices.alias("slices")), "root")
@@ -164,14 +185,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, tag, root, component_id) for every row of ``docs``, as of ``simhash.near_components``.
 
     Texts are linked if the sets of their five-word shingles have a Jaccard
-    similarity of 0.8 or more. Null texts and texts without words are alike; a
+    similarity of 0.8 or more; SimHash fingerprints of the sets and MinHash
+    bands nominate the pairs. Null texts and texts without words are alike; a
     null doc_id is never the smallest; repeated rows are returned as often as
     they come; an empty table gives an empty result.
     """
     tagged = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.encode(text_col, "UTF-8").alias("body"))
     kind = tagged.schema[0].dataType.simpleString()
-    rows = materialise(tagged.mapInArrow(_sketches, f"doc_id {kind}, tag long, node long, n long, bands array<long>"))
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rows = materialise(tagged.mapInArrow(_sketches, f"doc_id {kind}, tag long, node long, n long, fp long, bands array<long>"))
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     spark = docs.sparkSession
 
     def named() -> DataFrame:
